@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, substring_dedup
+from . import line_dedup, minhash_dedup, mixing, secrets, substring_dedup
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_mixing": mixing.op4_mixing,
+    "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_secret_scan": secrets.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op9_minhash_dedup": minhash_dedup.ORACLE,
 }
