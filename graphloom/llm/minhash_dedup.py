@@ -10,8 +10,8 @@ Documents are linked when the Jaccard similarity of their sets of word shingles
 3. Buckets that still hold several components are compared whole, in blocks of bounded size: pairs of
    different components, each in the first band that it shares, never a pair within a component.
 4. Verification compares the signatures a batch at a time and drops a pair as soon as the posterior
-   chance (uniform prior) that its similarity reaches the threshold is under ``MISS``. Survivors are
-   verified exactly on their full sets of 64-bit shingle hashes.
+   chance (uniform prior) that its similarity reaches the threshold is under ``MISS`` (at the last look
+   ``LAST_MISS``). Survivors are verified exactly on their full sets of 64-bit shingle hashes.
 
 A pair at the threshold shares no band with a chance of (1 - 0.8^8)^80 < 5e-7.
 
@@ -39,8 +39,8 @@ from .repeats import SLICE
 
 SHINGLE, SIMILAR = 5, 80
 BANDS, ROWS = 80, 8
-#: Minima compared between two looks at the posterior, and the chance of a miss at each look.
-BATCH, MISS = 64, 1e-9
+#: Minima compared between two looks at the posterior; the chance of a miss at each look but the last, and at the last.
+BATCH, MISS, LAST_MISS = 64, 1e-9, 1e-6
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
 _SEED = 20240229
@@ -88,7 +88,8 @@ def least_matches(n: int, similar: int = SIMILAR, miss: float = MISS) -> int:
 
 def _steps(similar: int) -> list[tuple[int, int, int]]:
     n = BANDS * ROWS
-    return [(at, min(at + BATCH, n), least_matches(min(at + BATCH, n), similar)) for at in range(0, n, BATCH)]
+    ends = range(BATCH, n + 1, BATCH)
+    return [(end - BATCH, end, least_matches(end, similar, MISS if end < n else LAST_MISS)) for end in ends]
 
 
 def _matching(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
