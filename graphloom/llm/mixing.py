@@ -31,10 +31,10 @@ DIGIT_BITS, DIGITS = 12, 5
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the 60-bit hash of each document."""
+    """``docs`` with the size and the 60-bit hash of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text)))
-    return docs.select("doc_id", "source", common.n_words(text).alias("size"), F.conv(F.substring(digest, 1, DIGIT_BITS * DIGITS // 4), 16, 10).cast("long").alias("hash"))
+    return docs.withColumns({"size": common.n_words(text), "hash": F.conv(F.substring(digest, 1, DIGIT_BITS * DIGITS // 4), 16, 10).cast("long")})
 
 
 def weighted(sources: DataFrame) -> DataFrame:
@@ -87,22 +87,28 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return out.select(budgets.source, F.coalesce("below", F.lit(1 << (DIGIT_BITS * DIGITS))).alias("below"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, hash, size, source_size, target and taken (words, repeats counted) of each document."""
-    sizes = common.written(sized(docs), "sizes")
+def mix(sizes: DataFrame) -> DataFrame:
+    """at (the source), source_size, target, whole and below of each source of ``sizes`` (source, size, hash).
+
+    A document is taken ``whole`` times, and once more if its hash is less than ``below``.
+    """
     sources = common.written(targeted(weighted(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("whole", whole)
     budgets = sources.where("source_size > 0").select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
     edges = thresholds(sizes, common.written(budgets, "budgets")).withColumnRenamed("source", "at")
-    sources = common.written(sources.join(edges, F.col("source").eqNullSafe(F.col("at")), "left").drop("at", "weight").withColumnRenamed("source", "at"), "mix")
+    return common.written(sources.join(edges, F.col("source").eqNullSafe(F.col("at")), "left").drop("at", "weight").withColumnRenamed("source", "at"), "mix")
+
+
+def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (source, hash and others) with their source's columns and ``times``, how often the mix takes each."""
     times = F.col("whole") + F.when(F.col("hash") < F.coalesce("below", F.lit(0)), 1).otherwise(0)
-    out = sizes.join(sources, F.col("source").eqNullSafe(F.col("at")))
-    return out.select("doc_id", "source", "hash", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return rows.join(sources, F.col("source").eqNullSafe(F.col("at"))).withColumn("times", times)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = common.written(sized(common.documents(spark, sf_dir)).select("doc_id", "source", "size", "hash"), "sizes")
+    return taken(sizes, mix(sizes)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 ORACLE = r"""

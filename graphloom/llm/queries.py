@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, line_dedup, minhash_dedup, mixing, packing, quality, secrets, substring_dedup
+import corpus_pipeline
+
+from . import fingerprints, language_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_language_id": language_id.op6_language_id,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_packing": packing.op8_packing,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
