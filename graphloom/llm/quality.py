@@ -36,55 +36,80 @@ BIN, RANGE, MARGIN = 0.01, 2000, 1.0
 
 
 def _words(text: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(common.WORD), F.lit(0))
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
 
 
-def _buckets(words: Column) -> Column:
-    """Buckets of a document's n-grams, repeats included."""
-    tails = F.transform(words, lambda w: F.right(w, F.lit(TAIL)))
-    ones = F.transform(tails, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
-    twos = F.transform(F.arrays_zip(F.slice(tails, 1, F.greatest(F.size(tails) - 1, F.lit(0))).alias("a"), F.slice(tails, 2, F.greatest(F.size(tails) - 1, F.lit(0))).alias("b")), lambda p: F.pmod(F.xxhash64(p["a"], p["b"]), F.lit(BUCKETS)).cast("int"))
-    return F.concat(ones, twos)
+def _grams(docs: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and the two buckets, one and two, of each word of ``docs`` and of it with the next (null: none)."""
+    words = docs.select(*keys, _words("text").alias("_words"))
+    placed = words.select(*keys, "_words", F.posexplode("_words").alias("_at", "_word"))
+    tail = lambda w: F.substring(w, -TAIL, TAIL)
+    after = F.get(F.col("_words"), F.col("_at") + 1)
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    return placed.select(*keys, bucket(tail(F.col("_word"))).alias("one"), F.when(after.isNotNull(), bucket(tail(F.col("_word")), tail(after))).alias("two"))
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all 3-word windows."""
+#: Bits for a window's place in a document; of a text with more words all windows are compared.
+PLACE_BITS = 24
+
+
+def _packed(words: Column) -> Column:
+    """The 3-word windows of a document as sorted longs: the hash's upper bits and the window's place."""
     n = F.greatest(F.size(words) - WINDOW + 1, F.lit(0))
-    parts = F.arrays_zip(*(F.slice(words, i + 1, n).alias(f"w{i}") for i in range(WINDOW)))
-    return F.transform(parts, lambda p: F.xxhash64(*(p[f"w{i}"] for i in range(WINDOW))))
-
-
-def _covered(windows: Column) -> Column:
-    """Number of words that lie in a window found twice or more."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # arrays are compared with themselves moved by one place, so a window's twin is its neighbour
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), placed)
-    after = F.concat(F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    rows = F.arrays_zip(placed.alias("at"), F.slice(before, 1, F.size(placed)).alias("before"), after.alias("after"))
-    twins = F.filter(rows, lambda r: F.coalesce(r["at"]["h"] == r["before"]["h"], F.lit(False)) | F.coalesce(r["at"]["h"] == r["after"]["h"], F.lit(False)))
+    low = (1 << PLACE_BITS) - 1
+    return F.sort_array(F.transform(F.slice(words, 1, n), lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW))).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+
+
+def _neighbours(packed: Column) -> Column:
+    """Places of windows that may stand twice: twins have become neighbours."""
+    low = F.lit((1 << PLACE_BITS) - 1)
+    pairs = F.filter(F.arrays_zip(packed.alias("a"), F.slice(packed, 2, F.greatest(F.size(packed) - 1, F.lit(0))).alias("b")), lambda p: F.shiftright(p["a"], PLACE_BITS) == F.shiftright(p["b"], PLACE_BITS))
+    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p["a"].bitwiseAND(low).cast("int"), p["b"].bitwiseAND(low).cast("int")))))
+
+
+def _covered(words: Column, places: Column) -> Column:
+    """Number of words in the windows at ``places`` whose words really stand twice."""
+    window = lambda i: [F.get(words, i + k).alias(f"w{k}") for k in range(WINDOW)]
+    placed = F.sort_array(F.transform(places, lambda i: F.struct(F.struct(*window(i)).alias("w"), i.alias("i"))))
+    none = F.array(F.lit(None).cast(f"struct<w:struct<{','.join(f'w{k}:string' for k in range(WINDOW))}>,i:int>"))
+    after = F.concat(F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))), none)
+    rows = F.arrays_zip(placed.alias("at"), F.slice(F.concat(none, placed), 1, F.size(placed)).alias("before"), after.alias("after"))
+    equal = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
+    twins = F.filter(rows, lambda r: equal(r["at"], r["before"]) | equal(r["at"], r["after"]))
     return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda r: F.sequence(r["at"]["i"], r["at"]["i"] + WINDOW - 1)))))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """The base counts and base_failed for each row of ``docs`` (text non-null); keeps the other columns."""
     others = [c for c in docs.columns if c != "text"]
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(common.WORD))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{common.SPACE}]"))
+    left = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
     words = docs.select(
         *others,
         _words("text").alias("_words"),
-        F.length(F.regexp_replace("text", f"[{common.SPACE}]+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        left(f"[{common.SPACE}]+").cast("long").alias("word_chars"),
+        (F.length("text") - left("[#*$%&|<>]+")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
     )
-    windows = words.select(*others, "word_chars", "n_symbols", F.size("_words").cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), _windows(F.col("_words")).alias("_windows"))
-    repeated = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows"))).otherwise(0).cast("long")
-    out = windows.select(*others, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
+    packed = words.select("*", _packed(F.col("_words")).alias("_packed"))
+    fits = F.size("_words") < (1 << PLACE_BITS)
+    places = F.when(fits, _neighbours(F.col("_packed"))).otherwise(F.sequence(F.lit(0), F.size("_words") - WINDOW))
+    twins = packed.select("*", places.alias("_places"))
+    out = twins.select(
+        *others,
+        F.size("_words").cast("long").alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("_places") > 0, _covered(F.col("_words"), F.col("_places"))).otherwise(0).cast("long").alias("n_repeat_words"),
+    )
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
 def ratio_model(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, bool]:
     """(bucket, ratio) for every bucket found, and whether any trusted document has words."""
-    grams = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(_buckets(_words("text"))).alias("bucket"))
+    marked = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    grams = _grams(marked, "trusted").select("trusted", F.explode(F.array("one", "two")).alias("bucket")).where("bucket is not null")
     counts = common.written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "grams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     share = lambda c, n: F.log(F.col(c) + 1.0) - F.lit(log((n or 0) + BUCKETS))
@@ -119,8 +144,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels = labels.where("doc_id is not null and quality is not null")
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
     model, any_trusted = ratio_model(rows, common.small(trusted, trusted.count(), 8))
-    grams = rows.select("_k", "_t", F.explode(_buckets(_words("text"))).alias("bucket"))
-    scores = grams.join(F.broadcast(model), "bucket").groupBy("_k", "_t").agg(F.avg("ratio").alias("score"))
+    grams = _grams(rows, "_k", "_t")
+    for c in ("one", "two"):  # every bucket of a document is in the model
+        grams = grams.join(F.broadcast(model.select(F.col("bucket").alias(c), F.col("ratio").alias(f"ratio_{c}"))), c, "left")
+    total = F.sum(F.col("ratio_one") + F.coalesce("ratio_two", F.lit(0.0))) / (F.count("ratio_one") + F.count("ratio_two"))
+    scores = grams.groupBy("_k", "_t").agg(total.alias("score"))
     scores = common.written(scores, "scores")
     cut = threshold(scores.join(labels.select(F.col("doc_id").alias("_k"), "quality"), "_k")) if any_trusted else float("-inf")
     out = base_rules(rows).join(scores, ["_k", "_t"], "left")
