@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "knn_topk"
+from graphloom.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
+FLAGSHIP = "knn_topk"
 
-ORACLE_SQL: dict = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
