@@ -51,7 +51,11 @@ def described(structs: DataFrame, lock: DataFrame, client: Callable[[Iterator[pd
     text = F.when(empty, F.lit("Empty File")).when(single, F.nullif(F.col("_only.description"), F.lit("")))
     out = F.coalesce(_filled("description"), text)
     if client is not None:
-        ask = F.pandas_udf(client, "string")
+
+        def asked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from client(texts)
+
+        ask = F.pandas_udf(asked, "string")
         out = F.coalesce(out, F.when(F.col("type").isin("file", "class", "method"), ask(embedding_text())))
     return rows.withColumn("description", F.coalesce(out, F.lit(""))).select(*structs.columns)
 
