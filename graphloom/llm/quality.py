@@ -60,11 +60,22 @@ def _packed(words: Column) -> Column:
     return F.sort_array(F.transform(F.slice(words, 1, n), lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW))).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
 
 
-def _neighbours(packed: Column) -> Column:
-    """Places of windows that may stand twice: twins have become neighbours."""
+def _pairs(packed: Column) -> Column:
+    """Places a, b of windows that may be twins: those whose hashes agree in all bits have become neighbours."""
     low = F.lit((1 << PLACE_BITS) - 1)
-    pairs = F.filter(F.arrays_zip(packed.alias("a"), F.slice(packed, 2, F.greatest(F.size(packed) - 1, F.lit(0))).alias("b")), lambda p: F.shiftright(p["a"], PLACE_BITS) == F.shiftright(p["b"], PLACE_BITS))
-    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p["a"].bitwiseAND(low).cast("int"), p["b"].bitwiseAND(low).cast("int")))))
+    near = F.filter(F.arrays_zip(packed.alias("a"), F.slice(packed, 2, F.greatest(F.size(packed) - 1, F.lit(0))).alias("b")), lambda p: F.shiftright(p["a"], PLACE_BITS) == F.shiftright(p["b"], PLACE_BITS))
+    return F.transform(near, lambda p: F.struct(p["a"].bitwiseAND(low).cast("int").alias("a"), p["b"].bitwiseAND(low).cast("int").alias("b")))
+
+
+def _unlike(words: Column, pairs: Column) -> Column:
+    """Whether the hashes of a pair agree and its words do not."""
+    same = lambda p, k: F.get(words, p["a"] + k) == F.get(words, p["b"] + k)
+    return F.exists(pairs, lambda p: ~(same(p, 0) & same(p, 1) & same(p, 2)))
+
+
+def _span(places: Column) -> Column:
+    """Number of words in the windows at ``places``."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(i, i + WINDOW - 1)))))
 
 
 def _covered(words: Column, places: Column) -> Column:
@@ -76,7 +87,7 @@ def _covered(words: Column, places: Column) -> Column:
     rows = F.arrays_zip(placed.alias("at"), F.slice(F.concat(none, placed), 1, F.size(placed)).alias("before"), after.alias("after"))
     equal = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
     twins = F.filter(rows, lambda r: equal(r["at"], r["before"]) | equal(r["at"], r["after"]))
-    return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda r: F.sequence(r["at"]["i"], r["at"]["i"] + WINDOW - 1)))))
+    return _span(F.transform(twins, lambda r: r["at"]["i"]))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -87,21 +98,23 @@ def base_rules(docs: DataFrame) -> DataFrame:
     words = docs.select(
         *others,
         _words("text").alias("_words"),
-        left(f"[{common.SPACE}]+").cast("long").alias("word_chars"),
         (F.length("text") - left("[#*$%&|<>]+")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
     )
     packed = words.select("*", _packed(F.col("_words")).alias("_packed"))
-    fits = F.size("_words") < (1 << PLACE_BITS)
-    places = F.when(fits, _neighbours(F.col("_packed"))).otherwise(F.sequence(F.lit(0), F.size("_words") - WINDOW))
-    twins = packed.select("*", places.alias("_places"))
+    twins = packed.select("*", _pairs(F.col("_packed")).alias("_pairs"))
+    few = F.size("_words") < (1 << PLACE_BITS)
+    either = F.array_distinct(F.concat(F.transform("_pairs", lambda p: p["a"]), F.transform("_pairs", lambda p: p["b"])))
+    # where a hash misleads, or places do not fit, the windows themselves are compared
+    repeated = F.when(few & (F.size("_pairs") == 0), 0).when(few & ~_unlike(F.col("_words"), F.col("_pairs")), _span(either))
+    repeated = repeated.otherwise(_covered(F.col("_words"), F.when(few, either).otherwise(F.sequence(F.lit(0), F.size("_words") - WINDOW))))
     out = twins.select(
         *others,
         F.size("_words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_places") > 0, _covered(F.col("_words"), F.col("_places"))).otherwise(0).cast("long").alias("n_repeat_words"),
+        repeated.cast("long").alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
