@@ -19,10 +19,11 @@ from graphloom.llm import common, language_id, line_dedup, minhash_dedup, mixing
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in no language: without a letter, or coded no shorter than by a uniform guess."""
-    names = [f"l{i}" for i in range(len(docs.columns))]
-    rows = language_id.identify(docs.select("text", F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))).alias("row")), language_id.learned(docs))
+    rest = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`").alias(n) for c, n in rest.items())).alias("rest"))
+    rows = language_id.identify(rows, language_id.learned(docs))
     rows = rows.where((F.col("lang_pred") != "und") & (F.col("bits") < log2(language_id.SYMBOLS)))
-    return rows.select(*(F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names)))
+    return rows.select(*("text" if c == "text" else F.col(f"rest.{rest[c]}").alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ BROADCAST_BYTES = 16 << 20
 
 LAST = (1 << 63) - 1
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dir: list[str] = []
 
 
@@ -46,6 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs`` to be handed to Python: Arrow batches hold at most ``BATCH_ROWS`` whole texts, unless the
+    session has a setting of its own. Texts have any length, so rows bound a batch better than Spark's
+    default number of them."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, BATCH_ROWS)
+    return docs
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit ``BROADCAST_BYTES``, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -204,7 +204,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text.
     """
-    return _blocks(docs.select("doc_id", "text")).mapInArrow(_compared(), _SCHEMA)
+    return _blocks(common.bounded(docs).select("doc_id", "text")).mapInArrow(_compared(), _SCHEMA)
 
 
 def near_pairs(prints: DataFrame, least: float = 0.6) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
+from .repeats import SLICE
 
 ORDER, SYMBOLS = 3, 40
 SAMPLE_BYTES = 400_000
@@ -157,7 +158,7 @@ def has_letter(text: str) -> bool:
 
 def _predict(model: Model, names: list[str]) -> Callable:
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = batch.column("text").to_pylist()
             known = [i for i, x in enumerate(texts) if x and model.langs and has_letter(x)]
             data = [texts[i].encode() for i in known]
@@ -200,7 +201,7 @@ def learned(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and bits; text is the only input of a prediction."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
-    kept = docs.select(*(F.col(f"`{c}`") for c in names))
+    kept = common.bounded(docs).select(*(F.col(f"`{c}`") for c in names))
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most TABLE_BYTES
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, bits double"
 

@@ -206,7 +206,7 @@ def _scan(templates: tuple[tuple[str, str], ...]) -> Callable:
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """Base places and labels, the labels of accepted templates and the score, a row for each document."""
     pairs = tuple((label, t) for label, ts in (templates or TEMPLATES).items() for t in ts)
-    return docs.select("doc_id", "text").mapInArrow(_scan(pairs), _SCHEMA)
+    return common.bounded(docs).select("doc_id", "text").mapInArrow(_scan(pairs), _SCHEMA)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

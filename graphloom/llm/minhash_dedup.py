@@ -197,7 +197,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILA
 
     docs needs doc_id and text; ``similar`` is a percentage.
     """
-    texts = docs.select("doc_id", "text")
+    texts = common.bounded(docs).select("doc_id", "text")
     sketches = common.written(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
     nodes = common.written(

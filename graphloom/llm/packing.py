@@ -53,11 +53,17 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to ids (uint32) without the end id."""
     import tiktoken
-    import tokenizers
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
@@ -65,11 +71,10 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     symbols = _byte_symbols()
     ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    plain = tokenizers.Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
         if any(x in text for x in special):
-            return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
     return encode
@@ -177,7 +182,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     docs needs doc_id and text; ``tokenizer`` is the path of a byte-level tokenizer file that every
     executor has.
     """
-    pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), _PIECE)
+    pieces = common.bounded(docs).select("doc_id", "text").mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), _PIECE)
     pieces = common.written(pieces.withColumn("_p", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == capacity)
     done = [full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_p") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import winnow
+from . import common, winnow
 
 #: Documents that are handled at once in a task.
 SLICE = 512
@@ -48,7 +48,7 @@ class Repeats:
         columns ``schema`` names with their types.
         """
         once = (
-            docs.select("_k", "_t", "text")
+            common.bounded(docs).select("_k", "_t", "text")
             .mapInArrow(self._anchors(), "_k long, _t long, p int, h long")
             .groupBy("h")
             .agg(F.count("*").alias("n"), F.max("_k").alias("_k"), F.max("_t").alias("_t"), F.max("p").alias("p"))
