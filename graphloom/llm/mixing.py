@@ -102,7 +102,7 @@ def mix(sizes: DataFrame) -> DataFrame:
 
 def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` (source, hash and others) with their source's columns and ``times``, how often the mix takes each."""
-    times = F.col("whole") + F.when(F.col("hash") < F.coalesce("below", F.lit(0)), 1).otherwise(0)
+    times = F.least(F.col("whole") + F.when(F.col("hash") < F.coalesce("below", F.lit(0)), 1).otherwise(0), F.lit(EPOCHS).cast("long"))
     return rows.join(sources, F.col("source").eqNullSafe(F.col("at"))).withColumn("times", times)
 
 
