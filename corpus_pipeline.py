@@ -17,39 +17,44 @@ from pyspark.sql import functions as F
 from graphloom.llm import common, language_id, line_dedup, minhash_dedup, mixing, packing
 
 
+def _files(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """What a stage makes of ``docs``, in files neither small nor many."""
+    return common.in_files(out, docs.count())
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in no language: without a letter, or coded no shorter than by a uniform guess."""
     rest = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
     rows = docs.select("text", F.struct(*(F.col(f"`{c}`").alias(n) for c, n in rest.items())).alias("rest"))
     rows = language_id.identify(rows, language_id.learned(docs))
     rows = rows.where((F.col("lang_pred") != "und") & (F.col("bits") < log2(language_id.SYMBOLS)))
-    return rows.select(*("text" if c == "text" else F.col(f"rest.{rest[c]}").alias(c) for c in docs.columns))
+    return _files(docs, rows).select(*("text" if c == "text" else F.col(f"rest.{rest[c]}").alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later repeats of runs of lines; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
+    out = _files(docs, line_dedup.line_dedup(docs))
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five words, similarity 0.8)."""
     kept = minhash_dedup.minhash_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return _files(docs, docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as its source's target asks; a document taken twice stands twice."""
     rows = mixing.sized(docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), "doc_id", "text", "source")).drop("text")
-    sizes = common.written(rows.select("doc_id", "source", "size", "hash"), "sizes")
+    sizes = common.written(rows.select("doc_id", "source", "size", "hash"), "sizes", docs.count())
     out = mixing.taken(rows, mixing.mix(sizes)).where("times > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return _files(docs, out).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens."""
-    return packing.pack(docs)
+    return _files(docs, packing.pack(docs))
 
 
 STAGES = [
@@ -67,5 +72,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        docs = common.written(stage(spark, docs, sf_dir), name, docs.count())
     return STAGES[-1][1](spark, docs, sf_dir)

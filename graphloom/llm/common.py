@@ -18,6 +18,7 @@ BROADCAST_BYTES = 16 << 20
 LAST = (1 << 63) - 1
 
 BATCH_ROWS = 1000
+FILE_ROWS = 50_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _own_dir: list[str] = []
@@ -42,10 +43,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that later plans start from the table."""
+def in_files(df: DataFrame, rows: int = 0) -> DataFrame:
+    """``df`` of about ``rows`` rows in as many partitions as there are cores, or one for ``FILE_ROWS`` rows if
+    these are more. No shuffle: neighbouring partitions become one task, so a table has no small files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
+def written(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that later plans start from the table.
+
+    ``rows`` is how many rows to expect at most, for tables that grow with the input.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    in_files(df, rows).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

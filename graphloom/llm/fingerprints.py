@@ -219,7 +219,7 @@ def near_pairs(prints: DataFrame, least: float = 0.6) -> DataFrame:
             keys = [bands(read(x)) for x in batch.column("fingerprint").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fingerprint"), pa.array(keys, pa.list_(pa.string()))], ["doc_id", "fingerprint", "bands"])
 
-    rows = common.written(single.mapInArrow(banded, "doc_id long, fingerprint string, bands array<string>"), "bands")
+    rows = common.written(single.mapInArrow(banded, "doc_id long, fingerprint string, bands array<string>"), "bands", prints.count())
     members = rows.select("doc_id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
     pairs = members.join(buckets, "band").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()

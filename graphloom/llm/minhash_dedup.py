@@ -197,21 +197,25 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILA
 
     docs needs doc_id and text; ``similar`` is a percentage.
     """
-    texts = common.bounded(docs).select("doc_id", "text")
-    sketches = common.written(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sketches")
+    texts, rows = common.bounded(docs).select("doc_id", "text"), docs.count()
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        return common.written(df, name, rows)
+
+    sketches = written(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
-    nodes = common.written(
+    nodes = written(
         sketches.where("n_shingles > 0").join(classes.where("node is not null").withColumnRenamed("node", "doc_id"), ["doc_id", "c1", "c2"]).withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "n"), "nodes"
     )
 
     banded = nodes.select("node", F.posexplode("bands").alias("pos", "band"))
-    buckets = common.written(banded.groupBy("pos", "band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last"), "buckets")
-    members = common.written(banded.join(common.small(buckets, buckets.count(), 24), ["pos", "band"]), "members")
+    buckets = written(banded.groupBy("pos", "band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last"), "buckets")
+    members = written(banded.join(common.small(buckets, buckets.count(), 24), ["pos", "band"]), "members")
     joined = members.select("node").distinct()
     joined = common.small(joined, joined.count(), 8)
-    near = common.written(nodes.join(joined, "node", "left_semi"), "near")
+    near = written(nodes.join(joined, "node", "left_semi"), "near")
     sets = texts.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "node long, c1 long, c2 long, shingles array<long>")
-    sets = common.written(sets.join(near.select("node", "c1", "c2"), ["node", "c1", "c2"], "left_semi").select("node", "shingles"), "sets")
+    sets = written(sets.join(near.select("node", "c1", "c2"), ["node", "c1", "c2"], "left_semi").select("node", "shingles"), "sets")
 
     def side(table: DataFrame, key: str, *cols: str) -> DataFrame:
         return table.select(F.col("node").alias(key), *(F.col(c).alias(f"{c[0]}{key}") for c in cols))
@@ -225,21 +229,21 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILA
     stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(side(signed, "a", "n", "signature"), "a").join(side(signed, "b", "n", "signature"), "b")
     stars = stars.where(100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-    links = common.written(verified(stars.mapInArrow(_prune(similar), "a long, b long")), "stars")
+    links = written(verified(stars.mapInArrow(_prune(similar), "a long, b long")), "stars")
 
-    rooted = members.join(components(links), "node", "left").select("pos", "band", "node", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(components(links, rows), "node", "left").select("pos", "band", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("pos", "band").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     mixed = mixed.select("pos", "band", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     open_ = rooted.join(mixed, ["pos", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    open_ = common.written(open_.select("pos", "band", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "open")
+    open_ = written(open_.select("pos", "band", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "open")
     groups = max(1, -(-open_.count() // (8 * BLOCK)))
     rest = (
         open_.join(near.select("node", "n", "bands"), "node")
         .groupBy(F.pmod(F.xxhash64("pos", "band", "lo", "hi"), F.lit(groups)).alias("g"))
         .applyInArrow(_blocks(similar), "a long, b long")
     )
-    roots = components(links.union(verified(rest)))
+    roots = components(links.union(verified(rest)), rows)
 
     classes = classes.join(roots, "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("component"))
     empty = F.col("n_shingles") == 0

@@ -107,7 +107,8 @@ def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = common.written(sized(common.documents(spark, sf_dir)).select("doc_id", "source", "size", "hash"), "sizes")
+    docs = common.documents(spark, sf_dir)
+    sizes = common.written(sized(docs).select("doc_id", "source", "size", "hash"), "sizes", docs.count())
     return taken(sizes, mix(sizes)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 

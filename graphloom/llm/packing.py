@@ -183,7 +183,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     executor has.
     """
     pieces = common.bounded(docs).select("doc_id", "text").mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), _PIECE)
-    pieces = common.written(pieces.withColumn("_p", F.monotonically_increasing_id()), "pieces")
+    pieces = common.written(pieces.withColumn("_p", F.monotonically_increasing_id()), "pieces", docs.count())
     full = pieces.where(F.col("length") == capacity)
     done = [full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_p") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left, least = pieces.where(F.col("length") < capacity), None
@@ -191,14 +191,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         n = left.count()
         groups = max(1, -(-n // GROUP))
         dealt = left.groupBy(F.pmod(F.xxhash64("_p", F.lit(round_)), F.lit(groups)).alias("g"))
-        rows = common.written(dealt.applyInArrow(_packed(capacity, round_), f"{_PIECE}, sequence_id long, offset long, fill long"), "packed")
+        rows = common.written(dealt.applyInArrow(_packed(capacity, round_), f"{_PIECE}, sequence_id long, offset long, fill long"), "packed", n)
         under = F.col("fill") < capacity - ROOM
         spare = rows.where(under).agg(F.count_distinct("sequence_id")).first()[0]
         last = groups == 1 or round_ == ROUNDS - 1 or not spare or (least is not None and spare >= least)
         done.append((rows if last else rows.where(~under)).drop("fill"))
         if last:
             break
-        least, left = spare, common.written(rows.where(under).drop("sequence_id", "offset", "fill").withColumn("_p", F.monotonically_increasing_id()), "underfull")
+        least, left = spare, common.written(rows.where(under).drop("sequence_id", "offset", "fill").withColumn("_p", F.monotonically_increasing_id()), "underfull", n)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -162,7 +162,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         grams = grams.join(F.broadcast(model.select(F.col("bucket").alias(c), F.col("ratio").alias(f"ratio_{c}"))), c, "left")
     total = F.sum(F.col("ratio_one") + F.coalesce("ratio_two", F.lit(0.0))) / (F.count("ratio_one") + F.count("ratio_two"))
     scores = grams.groupBy("_k", "_t").agg(total.alias("score"))
-    scores = common.written(scores, "scores")
+    scores = common.written(scores, "scores", docs.count())
     cut = threshold(scores.join(labels.select(F.col("doc_id").alias("_k"), "quality"), "_k")) if any_trusted else float("-inf")
     out = base_rules(rows).join(scores, ["_k", "_t"], "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("score") >= F.lit(cut), F.lit(False))).alias("kept"), "score")
