@@ -106,7 +106,7 @@ class Project:
 
     def parse(self, lock_path: str | None = None) -> Graph:
         """Scan the whole tree and commit its graph. Nodes of files that are gone are gone."""
-        before = self.store.load() if self.store.exists() else self.store.empty()
+        before = self.store.before()
         files = tree.scan(self.spark, self.root, self.rules, self.language)
         lock = lockfile.read(self.spark, lock_path, FORMAT_VERSION) if lock_path else None
         return self.store.commit(self._built(self._structs(files, files.select("path")), before, lock))

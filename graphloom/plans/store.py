@@ -3,7 +3,9 @@ see a version whole or not at all, and plans that read the one before keep their
 
 from __future__ import annotations
 
+import shutil
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,23 @@ class Store:
         read = lambda n: self.spark.read.schema(SCHEMAS[n]).parquet(f"{self.path}/{last.version}/{n}")
         return Graph(*map(read, SCHEMAS), last.version, last.note_high_water)
 
+    def before(self) -> Graph:
+        """The current version to build upon; an empty one where there is none or it cannot be read."""
+        try:
+            return self.load()
+        except StoreError:
+            last, graph = self._manifest(), self.empty()
+            graph.version = last.version if last else 0
+            return graph
+
+    def clean(self) -> bool:
+        """Delete a store on a local file system."""
+        path = Path(self.path.removeprefix("file://"))
+        if not (path / "manifest").exists():
+            return False
+        shutil.rmtree(path)
+        return True
+
     def commit(self, graph: Graph) -> Graph:
         """Write ``graph`` as the version after its own. Nodes are sorted by path, so path filters skip row groups."""
         version = graph.version + 1
