@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.scratch import scratch_path
+
 #: White space that separates words, and a word, in the regular expressions of Spark.
 SPACE = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,28 +20,11 @@ BATCH_ROWS = 1000
 FILE_ROWS = 50_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_own_dir: list[str] = []
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``.
-
-    Without that setting a temporary folder is made, which only a local master can use.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="graphloom-"))
-        base = f"file://{_own_dir[0]}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def in_files(df: DataFrame, rows: int = 0) -> DataFrame:
     """``df`` of about ``rows`` rows in as many partitions as there are cores, or one for ``FILE_ROWS`` rows if
     these are more. No shuffle: neighbouring partitions become one task, so a table has no small files."""
