@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import ident
-from graphloom.operators import describe, graph, notes, reconcile, search
+from graphloom.operators import describe, extract, graph, notes, reconcile, search
+from graphloom.operators.resolve import Resolver
+from graphloom.plans.sample import LANGUAGE, SAMPLE
+from graphloom.sources.tree import directories
+from graphloom.streaming.upsert import upserted
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -367,3 +371,29 @@ def upsert_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.lit("old").alias("status"), F.min("l_shipdate").alias("date_added"))
     parsed = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("date_added"))
     return reconcile.upsert(stored, parsed)
+
+
+def _sample(spark: SparkSession) -> DataFrame:
+    rows = [(path, bytearray(text.encode()), LANGUAGE[path.rsplit(".", 1)[-1]]) for path, text in SAMPLE.items()]
+    return spark.createDataFrame(rows, "path string, content binary, lang string")
+
+
+@query(None)
+def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a small tree of three languages (not the tables)."""
+    return extract.extract(_sample(spark)).select("id", "uid", "type", "parent_uid", "signature", "arity", "start_line", "end_line", "diff_hash")
+
+
+@query(None)
+def source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved and lifted edges of that tree."""
+    files = _sample(spark)
+    nodes = extract.extract(files).unionByName(directories(files.select("path")), allowMissingColumns=True)
+    nodes = nodes.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("inherits", "imports")})
+    return Resolver(nodes).edges()
+
+
+@query("SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream whose micro-batches are merged into a table of the latest by key."""
+    return upserted(spark, f"{sf_dir}/events.parquet", "user_id", ["ts", "event_id"], ["event_type"])
