@@ -12,8 +12,6 @@ a text that loses no line is returned as it is.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
