@@ -203,7 +203,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILA
         return common.written(df, name, rows)
 
     sketches = written(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
+    classes = written(sketches.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = written(
         sketches.where("n_shingles > 0").join(classes.where("node is not null").withColumnRenamed("node", "doc_id"), ["doc_id", "c1", "c2"]).withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "n"), "nodes"
     )
