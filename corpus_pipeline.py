@@ -32,19 +32,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeats of runs of lines; n_chars follows the text."""
+    """Delete later repeats of runs of lines; n_chars follows the text. Documents stay, if need be empty."""
     out = _files(docs, line_dedup.line_dedup(docs))
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five words, similarity 0.8)."""
+    """Keep one document of each group of near copies (five words, similarity 0.8).
+
+    Rows that share a doc_id stay or go together; so do all rows without one.
+    """
     kept = minhash_dedup.minhash_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return _files(docs, docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as its source's target asks; a document taken twice stands twice."""
+    """Take each document as often as its source's target asks; a document taken twice stands twice, one not taken goes."""
     rows = mixing.sized(docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), "doc_id", "text", "source")).drop("text")
     sizes = common.written(rows.select("doc_id", "source", "size", "hash"), "sizes", docs.count())
     out = mixing.taken(rows, mixing.mix(sizes)).where("times > 0")
