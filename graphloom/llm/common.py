@@ -31,13 +31,14 @@ def in_files(df: DataFrame, rows: int = 0) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
 
 
-def written(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = 0) -> DataFrame:
     """``df`` written to the shared folder and read back, so that later plans start from the table.
 
-    ``rows`` is how many rows to expect at most, for tables that grow with the input.
+    ``rows`` is how many rows to expect at most, for tables that grow with the input; None leaves the
+    partitions as they are, for tables that cost much to make.
     """
     path = scratch_path(df.sparkSession, name)
-    in_files(df, rows).write.option("compression", "zstd").parquet(path)
+    (df if rows is None else in_files(df, rows)).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -99,7 +99,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     kept["assign"] = F.filter(kept["assign"], lambda x: F.length(x["value"]) >= ASSIGN_CHARS)
     kept["mixed"] = F.filter(kept["mixed"], lambda x: _mixed(x["value"]))
     found = held.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "owner", "repository", *(v.alias(k) for k, v in kept.items()))
-    found = common.written(found, "secrets", docs.count())
+    found = common.written(found, "secrets", None)
 
     candidates = found.where(F.size("assign") + F.size("access") + F.size("hex") + F.size("mixed") > 0).select("_row", "owner", "repository", F.explode(F.concat(*KINDS)).alias("x"))
     candidates = candidates.select("_row", "owner", "repository", "x.s", "x.e", "x.value", F.sha2("x.value", 256).alias("value_hash"))
