@@ -38,12 +38,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five words, similarity 0.8).
+    """Keep one row of each group of near copies (five words, similarity 0.8): the one with the smallest doc_id, null last.
 
-    Rows that share a doc_id stay or go together; so do all rows without one.
+    Every row is judged under an id of its own, so rows that share a doc_id or have none are judged too.
     """
-    kept = minhash_dedup.minhash_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return _files(docs, docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"))
+    rest, n = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}, docs.count()
+    rows = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`").alias(k) for c, k in rest.items())).alias("rest"))
+    rows = common.written(rows, "rows", n)  # read again and again, with the same ids
+    ids = rows.select("doc_id", F.col(f"rest.{rest['doc_id']}").alias("id"))
+    judged = minhash_dedup.minhash_dedup(rows).select("doc_id", "component_id").join(ids, "doc_id")
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("first"))
+    out = common.in_files(rows.join(first.select("first.doc_id"), "doc_id", "left_semi"), n)
+    return out.select(*("text" if c == "text" else F.col(f"rest.{rest[c]}").alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

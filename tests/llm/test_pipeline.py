@@ -102,3 +102,13 @@ def test_odd_rows(spark, odd):
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_near_stage_judges_every_row(spark):
+    prose, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "xy")
+    near = other.replace("y59", "z")
+    rows = [(None, prose), (7, prose), (None, prose), (7, prose), (None, other), (None, other), (None, near), (None, "stands alone without an id"), (8, "also alone"), (None, ""), (None, None)]
+    out = corpus_pipeline.dedup_near(spark, spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA), SF).collect()
+    assert [r.doc_id for r in out if r.text == prose] == [7] and sum(r.text in (other, near) for r in out) == 1
+    assert sorted(r.text for r in out if r.text is not None and r.text not in (prose, other, near)) == ["", "also alone", "stands alone without an id"]
+    assert len(out) == 6
