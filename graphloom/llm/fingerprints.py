@@ -12,8 +12,9 @@ likeness - the weighted share of equal samples over the longer walk, less what c
 the Hamming distance of the whole embeddings. Every character of a text takes part.
 
 Banding: ``BAND`` consecutive sampled digits of a range are a band; two texts that share one of the
-bands of their last ranges are candidates, verified by likeness. ``near_pairs`` does so for a table,
-pairing the members of a bucket with its smallest only.
+bands of their last ranges are candidates, verified by likeness. ``near_pairs`` does so for a table: the
+members of a bucket with its smallest, then, in blocks of bounded size, those that are still in different
+components. ``near_groups`` gives every document its class of equal fingerprints and its component.
 
 Defined results: null texts are empty; the fingerprint of an empty text is ``0:`` and like only itself;
 documents stand in ascending order of doc_id, null last, equal ones by text, and the first follows the
@@ -32,9 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .components import components
 
 CLASSES, PERIOD, SAMPLES, RANGES = 64, 1024, 32, 40
 BAND, LAST_RANGES = 4, 3
+#: Members of a bucket that are compared with each other at once.
+BLOCK = 512
 _SEED, _CHANCE = 20240307, 1 / 16
 
 
@@ -207,19 +211,57 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return _blocks(common.bounded(docs).select("doc_id", "text")).mapInArrow(_compared(), _SCHEMA)
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    return prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _block_pairs(least: float) -> Callable:
+    """Like pairs of different components in each block of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending")]).combine_chunks()
+        band = table.column("band").to_pylist()
+        node, root, block, lo, hi = (table.column(c).to_numpy() for c in ("node", "root", "block", "lo", "hi"))
+        prints = [read(x) for x in table.column("fingerprint").to_pylist()]
+        n = np.array([len(x) for x in prints])
+        digits = np.full((len(n), n.max()), -1, np.int8)
+        for i, x in enumerate(prints):
+            digits[i, : len(x)] = x
+        weights = _sampled()[1][: n.max()]
+        upto = np.r_[0.0, np.cumsum(weights)]
+        begins = [i for i in range(len(n)) if not i or (band[i], lo[i], hi[i]) != (band[i - 1], lo[i - 1], hi[i - 1])]
+        a, b, near = [], [], []
+        for begin, end in zip(begins, [*begins[1:], len(n)]):
+            for i in range(begin, end - 1):
+                ok = root[i + 1 : end] != root[i]
+                if lo[i] != hi[i]:
+                    ok &= block[i + 1 : end] != block[i]
+                at = i + 1 + np.flatnonzero(ok)
+                equal = (digits[at, : n[i]] == digits[i, : n[i]]) @ weights[: n[i]]
+                rough = (equal / upto[np.maximum(n[at], n[i])] - _CHANCE) / (1 - _CHANCE)
+                for j in at[rough >= least - 1e-9].tolist():
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+                    near.append(likeness(prints[i], prints[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "near": pa.array(near, pa.float64())})
+
+    return run
+
+
 def near_pairs(prints: DataFrame, least: float = 0.6) -> DataFrame:
-    """(a, b, near) for documents that share a band with the smallest doc_id of its bucket, verified by likeness.
+    """(a, b, near) for classes of equal fingerprints that share a band and are alike, by their smallest doc_id.
 
-    prints needs doc_id and fingerprint; documents with equal fingerprints are one, the smallest.
+    prints needs doc_id and fingerprint. The pairs link all classes that any like pairs with a common band
+    link; pairs inside what the smallest members of the buckets link already are left out.
     """
-    single = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    count = prints.count()
 
     def banded(batches):
         for batch in batches:
             keys = [bands(read(x)) for x in batch.column("fingerprint").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fingerprint"), pa.array(keys, pa.list_(pa.string()))], ["doc_id", "fingerprint", "bands"])
 
-    rows = common.written(single.mapInArrow(banded, "doc_id long, fingerprint string, bands array<string>"), "bands", prints.count())
+    rows = common.written(_classes(prints).mapInArrow(banded, "doc_id long, fingerprint string, bands array<string>"), "bands", count)
     members = rows.select("doc_id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
     pairs = members.join(buckets, "band").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
@@ -230,8 +272,33 @@ def near_pairs(prints: DataFrame, least: float = 0.6) -> DataFrame:
             near = [likeness(read(x), read(y)) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.float64())], ["a", "b", "near"])
 
-    out = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verified, "a long, b long, near double")
-    return out.where(F.col("near") >= least)
+    stars = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verified, "a long, b long, near double")
+    stars = common.written(stars.where(F.col("near") >= least), "stars", count)
+
+    roots = components(stars.select("a", "b"), count).withColumnRenamed("node", "doc_id")
+    rooted = members.join(roots, "doc_id", "left").select("band", F.col("doc_id").alias("node"), F.coalesce("root", "doc_id").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    open_ = rooted.join(mixed, "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    open_ = common.written(open_.select("band", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "open", count)
+    groups = max(1, -(-open_.count() // (8 * BLOCK)))
+    rest = (
+        open_.join(rows.select(F.col("doc_id").alias("node"), "fingerprint"), "node")
+        .groupBy(F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(groups)).alias("g"))
+        .applyInArrow(_block_pairs(least), "a long, b long, near double")
+    )
+    return stars.union(rest.where(F.col("near") >= least).distinct())
+
+
+def near_groups(prints: DataFrame, least: float = 0.6) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the same fingerprint) and group_id (smallest that ``near_pairs`` reach), a row for each row.
+
+    Both are null where no row of the fingerprint has a doc_id.
+    """
+    roots = components(near_pairs(prints, least).select("a", "b"), prints.count()).withColumnRenamed("node", "class_id")
+    classes = _classes(prints).withColumnRenamed("doc_id", "class_id").join(roots, "class_id", "left")
+    return prints.select("doc_id", "fingerprint").join(classes, "fingerprint", "left").select("doc_id", "class_id", F.coalesce("root", "class_id").alias("group_id"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -413,6 +413,39 @@ def test_near_pairs(spark):
     assert [(r.a, r.b) for r in fingerprints.near_pairs(prints).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_groups_of_crowded_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    centres = rng.integers(0, 16, (40, 3 * fingerprints.SAMPLES))
+    centres[:, -4:] = 7  # one band that all share
+    rows = []
+    for i in range(300):
+        digits = centres[rng.integers(0, 40)].copy()
+        for band in range(0, len(digits) - 4, 4):  # members differ in every other band
+            digits[band + rng.integers(0, 4)] += rng.integers(1, 16)
+        digits %= 16
+        rows.append((i + 1, digits))
+    rows = [(0, np.r_[rng.integers(0, 16, 92), [7] * 4]), *rows, (301, rows[5][1]), (None, rows[6][1])]
+    prints = [(i, f"{len(x)}:" + "".join(f"{d:x}" for d in x)) for i, x in rows]
+    root = {i: i for i, _ in prints if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    known = [(i, fingerprints.read(p)) for i, p in prints if i is not None]
+    for (a, x), (b, y) in itertools.combinations(known, 2):
+        if fingerprints.likeness(x, y) >= 0.4:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    got = fingerprints.near_groups(spark.createDataFrame(prints, "doc_id long, fingerprint string"), 0.4).collect()
+    assert len(got) == len(prints) and {r.doc_id: r.group_id for r in got if r.doc_id is not None} == {i: find(i) for i in root}
+    assert {r.doc_id: r.class_id for r in got}[301] == min(i for i, p in prints if p == prints[-2][1])
+    assert [r.group_id for r in got if r.doc_id is None] == [find(min(i for i, p in prints if p == prints[-1][1] and i is not None))]
+
+
 # -- packing -----------------------------------------------------------------------------------------
 
 
