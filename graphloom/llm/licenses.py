@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .license_texts import FULL
 
 #: Base phrases and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -51,13 +52,51 @@ TEMPLATES = {
     "cc-by-4.0": ["licensed under <<beginOptional>>a creative commons<<endOptional>> <<beginOptional>>the<<endOptional>> cc by 4 0"],
     "cc-by-nc-4.0": ["licensed under <<beginOptional>>a creative commons<<endOptional>> <<beginOptional>>the<<endOptional>> cc by nc 4 0"],
     "isc": [
-        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies <<beginOptional>>the software is provided as is and <<var;match=.*;words=1-20>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;match=.*;words=1-20>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software<<endOptional>>"
     ],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;match=.*;words=1-20>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>>"
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;match=.*;words=1-20>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>> <<beginOptional>>this software is provided by <<var;match=.*;words=1-20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;match=.*;words=1-20>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage<<endOptional>>"
     ],
 }
 
+
+
+def _add(label: str, *templates: str) -> None:
+    TEMPLATES[label] = TEMPLATES.get(label, []) + list(templates)
+
+
+for _label, _name, _version in [
+    ("gpl-2.0", "general", "2"),
+    ("gpl-3.0", "general", "3"),
+    ("lgpl-2.0", "<<var;match=library|lesser;words=1-1>> general", "2"),
+    ("lgpl-2.1", "lesser general", "2 1"),
+    ("lgpl-3.0", "lesser general", "3"),
+    ("agpl-3.0", "affero general", "3"),
+]:
+    _first, _, _rest = _version.partition(" ")
+    _gnu, _by = f"gnu {_name} public license", "as published by the free software foundation"
+    _add(
+        _label,
+        f"modify it under the terms of the {_gnu} {_by} either version {_version} of the license or at your option any later version",
+        f"under the terms of the {_gnu} {_by} version {_version} of the license",
+        f"under the terms of the {_gnu} version {_version} <<beginOptional>>only<<endOptional>> {_by}",
+        f"under the terms of version {_version} of the {_gnu} <<beginOptional>>{_by}<<endOptional>>",
+    )
+    if _label in ("lgpl-2.1", "lgpl-3.0", "agpl-3.0"):
+        _add(_label, f"<<var;match=released|licensed|distributed|available|published;words=1-1>> under the <<beginOptional>>terms of the<<endOptional>> {_gnu} <<beginOptional>>version<<endOptional>> <<var;match=v?{_first};words=1-1>> {_rest}")
+_add("mpl-2.0", "subject to the terms of the mozilla public license <<var;match=v|version;words=1-1>> 2 0", "<<var;match=released|licensed|distributed|available|published;words=1-1>> under the <<beginOptional>>terms of the<<endOptional>> mozilla public license <<beginOptional>>version<<endOptional>> <<var;match=v?2;words=1-1>> 0")
+for _label, _names in {
+    "cc-by-4.0": [""],
+    "cc-by-sa-4.0": ["sharealike", "share alike"],
+    "cc-by-nd-4.0": ["noderivatives", "noderivs", "no derivatives"],
+    "cc-by-nc-4.0": ["noncommercial", "non commercial"],
+    "cc-by-nc-sa-4.0": ["noncommercial sharealike", "non commercial share alike"],
+    "cc-by-nc-nd-4.0": ["noncommercial noderivatives", "noncommercial noderivs", "non commercial no derivatives"],
+}.items():
+    _add(_label, *(f"creative commons attribution {n} 4 0 international" for n in _names))
+for _label, _text in FULL.items():
+    _add(_label, _text)
+
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;match=(.*?);words=(\d+)-(\d+))>>")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, bool)

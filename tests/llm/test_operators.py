@@ -284,6 +284,25 @@ def test_license_labels(spark):
     assert got == ["mit", "apache,apache-2.0", "gpl,gpl-3.0", "cc-by-nc-4.0", ""]
 
 
+def test_common_licenses(spark):
+    gnu = "This is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    want = [
+        (gnu.format("General", "2"), "gpl-2.0"),
+        (gnu.format("General", "3"), "gpl-3.0"),
+        (gnu.format("Library General", "2"), "lgpl-2.0"),
+        (gnu.format("Lesser General", "2.1"), "lgpl-2.1"),
+        (gnu.format("Lesser General", "3"), "lgpl-3.0"),
+        (gnu.format("Affero General", "3"), "agpl-3.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+        ("under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc-sa-4.0"),
+    ]
+    want += [(f"{re.sub('<<var;match=(.*?)[?|].*?>>', lambda m: m[1], text)} Copyright", label) for label, text in licenses.FULL.items()]
+    got = licenses.license_scan(spark.createDataFrame([(i, t, None, None, 0) for i, (t, _) in enumerate(want)], SCHEMA)).orderBy("doc_id").collect()
+    assert [set(r.labels.split(",")) - {"gpl", "apache"} for r in got] == [{label} for _, label in want]
+    assert all(r.score > 0.98 for r in got[9:])  # full texts are covered to the end
+
+
 # -- language ----------------------------------------------------------------------------------------
 
 
