@@ -4,13 +4,15 @@ Every document is encoded with the vocabulary of a tokenizer file and ends with
 ``CAPACITY`` are cut so that all pieces but the first are full. Full pieces are sequences of their own.
 
 The others are dealt out at random into groups of about ``GROUP`` pieces. In a group, pieces are placed
-best fit, longest first; then underfull sequences exchange one piece for one, one for two or two for
-one, or move a piece, always so that the sum of squared fills grows, until the emptiest have nothing
-left. What stays underfull in any group is dealt out again and packed anew, until one group holds it
-or no sequence is saved. No piece is ever left out or cut again.
+best fit, longest first; then underfull sequences (more than ``ROOM`` tokens free) exchange one piece
+for one, one for two or two for one, or move a piece, always so that the sum of squared fills grows,
+until no exchange of any two of them gains. What stays underfull in any group is dealt out again and
+packed anew, until one group holds it or no sequence is saved. No piece is ever left out or cut again.
 
 Ids come from tiktoken over the very vocabulary in the tokenizer file, which is several times faster
-and gives the ids of ``tokenizers``; texts with the file's special token go through ``tokenizers``.
+and gives the ids of ``tokenizers``. Texts with the file's special token, texts that tiktoken's regular
+expressions give up on (a million blanks in a row), and all texts of a file with another pre-tokenizer
+go through ``tokenizers``.
 
 Defined results: null and empty texts are one piece of the single id 0; repeated rows are packed each;
 further columns are ignored; an empty table gives an empty result.
@@ -22,7 +24,7 @@ import json
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,10 @@ from . import common
 
 CAPACITY, END = 2048, 0
 GROUP = 4096
-#: A sequence with more room than this is underfull; so many of a group's emptiest are searched, with so many exchanges at most.
-ROOM, EMPTIEST, EXCHANGES = 16, 160, 1500
-ROUNDS = 6
-#: How the byte-level pre-tokenizer splits a text (fixed value).
+#: A sequence with more room than this is underfull.
+ROOM = 16
+#: The pre-tokenizer for which tiktoken stands in, and how it splits a text (fixed values).
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -60,6 +62,13 @@ def _tokenizer(path: str):
     return tokenizers.Tokenizer.from_file(path)
 
 
+def _byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file splits texts by ``PATTERN`` and merges bytes by rank, and does nothing else to them."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = not spec.get("normalizer") and model.get("type", "BPE") == "BPE" and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("dropout")
+    return plain and {k: before.get(k, v) for k, v in BYTE_LEVEL.items()} == BYTE_LEVEL and before.get("type") == "ByteLevel"
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to ids (uint32) without the end id."""
@@ -67,6 +76,12 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
+
+    def exact(text: str) -> np.ndarray:
+        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if not _byte_level(spec):
+        return exact
     special = [x["content"] for x in spec.get("added_tokens", ())]
     symbols = _byte_symbols()
     ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -74,8 +89,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     def encode(text: str) -> np.ndarray:
         if any(x in text for x in special):
-            return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            return exact(text)
+        try:
+            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        except ValueError:  # its regular expressions have a stack of limited size
+            return exact(text)
 
     return encode
 
@@ -117,43 +135,66 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, emptiest: int = EMPTIEST, exchanges: int = EXCHANGES) -> list[list[int]]:
-    """Exchange items between the emptiest bins so that the sum of squared fills grows; empty bins go."""
+def _gives(items: list[int], lengths: list[int]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+    """What a bin can give: nothing, one item, or two; of items of equal length one stands for all. With sizes and numbers of items."""
+    by: dict[int, list[int]] = {}
+    for i in items:
+        by.setdefault(lengths[i], []).append(i)
+    ones = [own[0] for own in by.values()]
+    twins = [tuple(own[:2]) for own in by.values() if len(own) > 1]
+    gives = [(), *((i,) for i in ones), *combinations(ones, 2), *twins]
+    return gives, np.array([sum(lengths[i] for i in p) for p in gives]), np.array([len(p) for p in gives])
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Exchange items between underfull bins so that the sum of squared fills grows, until no exchange gains; empty bins go.
+
+    The emptiest bin gives first, each time by the exchange that gains most. A bin's lengths differ by at
+    least one token, so it has at most about sqrt(2 * capacity) different ones to give.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted((b for b in range(len(bins)) if capacity - fill[b] > ROOM), key=fill.__getitem__)[:emptiest]
+    open_ = [b for b in range(len(bins)) if capacity - fill[b] > ROOM]
+    give = {b: _gives(bins[b], lengths) for b in open_}
     stuck: set[int] = set()
-    for _ in range(exchanges):
-        open_ = [b for b in order if bins[b]]
+    gained = False
+    while len(open_) > 1:
         source = min((b for b in open_ if b not in stuck), key=fill.__getitem__, default=None)
-        if source is None or len(open_) < 2:
-            break
-        # what a bin can give: nothing (a move to it), one item, or two
-        gives = [(b, ()) for b in open_ if b != source] + [(b, (i,)) for b in open_ if b != source for i in bins[b]]
-        gives += [(b, p) for b in open_ if b != source and len(bins[b]) <= 8 for p in combinations(bins[b], 2)]
-        size = np.array([sum(lengths[i] for i in p) for _, p in gives])
-        count = np.array([len(p) for _, p in gives])
-        load = np.array([fill[b] for b, _ in gives])
+        if source is None:
+            if not gained:
+                break
+            stuck, gained = set(), False  # what a bin lacked may have come up since
+            continue
+        others = [b for b in open_ if b != source]
+        size, count = (np.concatenate([give[b][k] for b in others]) for k in (1, 2))
+        ends = np.cumsum([len(give[b][0]) for b in others])
+        load = np.repeat([fill[b] for b in others], np.diff(ends, prepend=0))
         best = None
-        mine = [(i,) for i in bins[source]] + (list(combinations(bins[source], 2)) if len(bins[source]) <= 8 else [])
-        for p in mine:
-            more = sum(lengths[i] for i in p) - size
-            # the receiver is as full as the source or fuller afterwards, so squares grow
-            ok = (more > 0) & (more <= capacity - load) & (load + more > fill[source]) & ~((count == 2) & (len(p) == 2)) & ~((count == 0) & (len(p) == 2))
+        for p, mine, n in zip(*give[source]):
+            if not n:
+                continue
+            more = mine - size
+            # both grow in squares: the receiver ends fuller than the source was
+            ok = (more > 0) & (more <= capacity - load) & (load + more > fill[source]) & ((count + n < 4) if n == 2 else True) & ((count > 0) | (n == 1))
             if ok.any():
-                gain = np.where(ok, (load + more) ** 2 - load**2 + (fill[source] - more) ** 2, -1)
+                gain = np.where(ok, 2 * more * (load - fill[source] + more), -1)
                 k = int(gain.argmax())
-                if best is None or gain[k] > best[0]:
+                if gain[k] > 0 and (best is None or gain[k] > best[0]):
                     best = (int(gain[k]), p, k)
-        if best is None or best[0] <= fill[source] ** 2:
+        if best is None:
             stuck.add(source)
             continue
         _, p, k = best
-        to, back = gives[k]
+        at = int(np.searchsorted(ends, k, "right"))
+        to = others[at]
+        back = give[to][0][k - (int(ends[at - 1]) if at else 0)]
         bins[source] = [i for i in bins[source] if i not in p] + list(back)
         bins[to] = [i for i in bins[to] if i not in back] + list(p)
         for b in (source, to):
             fill[b] = sum(lengths[i] for i in bins[b])
+            give[b] = _gives(bins[b], lengths)
+        open_ = [b for b in open_ if bins[b] and (b not in (source, to) or capacity - fill[b] > ROOM)]
         stuck.discard(to)
+        gained = True
     return [b for b in bins if b]
 
 
@@ -187,14 +228,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     full = pieces.where(F.col("length") == capacity)
     done = [full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_p") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left, least = pieces.where(F.col("length") < capacity), None
-    for round_ in range(ROUNDS):
+    for round_ in count():  # each but the last saves a sequence
         n = left.count()
         groups = max(1, -(-n // GROUP))
         dealt = left.groupBy(F.pmod(F.xxhash64("_p", F.lit(round_)), F.lit(groups)).alias("g"))
         rows = common.written(dealt.applyInArrow(_packed(capacity, round_), f"{_PIECE}, sequence_id long, offset long, fill long"), "packed", n)
         under = F.col("fill") < capacity - ROOM
         spare = rows.where(under).agg(F.count_distinct("sequence_id")).first()[0]
-        last = groups == 1 or round_ == ROUNDS - 1 or not spare or (least is not None and spare >= least)
+        last = groups == 1 or not spare or (least is not None and spare >= least)
         done.append((rows if last else rows.where(~under)).drop("fill"))
         if last:
             break

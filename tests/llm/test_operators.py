@@ -498,6 +498,47 @@ def test_packing_in_groups(spark, monkeypatch):
     assert pieces.sequence_id.nunique() <= 1.02 * pieces.length.sum() / 2048 + 3
 
 
+def test_encoder_of_long_runs():
+    plain, encode = packing._tokenizer(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + " \n\t" * 400_000 + "b", "x" * 300_000):
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_runs(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "short"]
+    got = packing.pack(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    plain = packing._tokenizer(packing.default_tokenizer())
+    assert {r.doc_id: r.n for r in got} == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_other_tokenizer_files(tmp_path):
+    import json
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        spec = json.load(file)
+    text = "It's 1234 dogs -- and\n\n more"
+    for name, change in (("prefix", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}), ("lower", {"normalizer": {"type": "Lowercase"}}), ("digits", {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}})):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        assert packing.encoder(str(path))(text).tolist() == packing._tokenizer(str(path)).encode(text, add_special_tokens=False).ids
+
+
+def test_local_search_leaves_no_gain():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(500, 1000, 90).tolist()
+    first = packing.best_fit(lengths, 2048)
+    bins = packing.local_search(first, lengths, 2048)
+    fill = {i: sum(lengths[k] for k in b) for i, b in enumerate(bins)}
+    under = [i for i in fill if 2048 - fill[i] > packing.ROOM]
+    some = lambda b: [(), *((k,) for k in b), *itertools.combinations(b, 2)]
+    for a, b in itertools.permutations(under, 2):
+        for p, q in itertools.product(some(bins[a]), some(bins[b])):
+            if (len(p), len(q)) in ((1, 0), (1, 1), (1, 2), (2, 1)):
+                more = sum(lengths[k] for k in p) - sum(lengths[k] for k in q)
+                assert more <= 0 or fill[b] + more > 2048 or fill[b] + more <= fill[a]
+    assert len(bins) < len(packing.best_fit(lengths, 2048))
+
+
 def test_local_search_empties_bins():
     lengths = [6, 4, 5, 5, 3, 3, 4]
     bins = packing.local_search([[0, 4], [1, 2], [3, 5], [6]], lengths, 10)
