@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +21,9 @@ BROADCAST_BYTES = 16 << 20
 
 LAST = (1 << 63) - 1
 
-BATCH_ROWS = 1000
+#: Bytes of text that are handled at once in a task.
+SLICE_BYTES = 2 << 20
 FILE_ROWS = 50_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +47,19 @@ def written(df: DataFrame, name: str, rows: int | None = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(docs: DataFrame) -> DataFrame:
-    """``docs`` to be handed to Python: Arrow batches hold at most ``BATCH_ROWS`` whole texts, unless the
-    session has a setting of its own. Texts have any length, so rows bound a batch better than Spark's
-    default number of them."""
-    conf = docs.sparkSession.conf
-    if conf.get(_BATCH) == "10000":
-        conf.set(_BATCH, BATCH_ROWS)
-    return docs
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of ``batch`` with about ``SLICE_BYTES`` of text together; a longer text is a slice of its own.
+
+    Spark hands over at most about 64 MB at once (or one row, if that is longer), and what is made of a
+    text takes several times its size.
+    """
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for at, end in zip(cuts, cuts[1:]):
+        yield batch.slice(at, end - at)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

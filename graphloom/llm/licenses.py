@@ -224,8 +224,7 @@ def _scan(templates: tuple[tuple[str, str], ...]) -> Callable:
     def run(batches):
         automata = _automata(templates)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in common.slices(batch):
                 texts = [(x or b"").lower() for x in part.column("text").cast(pa.binary()).to_pylist()]
                 # a word begins where a character of one follows none; a zero byte parts the texts
                 mask = _IN_WORD[np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)]
@@ -245,7 +244,7 @@ def _scan(templates: tuple[tuple[str, str], ...]) -> Callable:
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """Base places and labels, the labels of accepted templates and the score, a row for each document."""
     pairs = tuple((label, t) for label, ts in (templates or TEMPLATES).items() for t in ts)
-    return common.bounded(docs).select("doc_id", "text").mapInArrow(_scan(pairs), _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_scan(pairs), _SCHEMA)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from . import common, winnow
 from .components import components
-from .repeats import SLICE
 
 SHINGLE, SIMILAR = 5, 80
 BANDS, ROWS = 80, 8
@@ -112,8 +111,7 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
+        for part in common.slices(batch):
             split = [b"" if x is None else x for x in part.column("text").cast(pa.binary()).to_pylist()]
             split = [x.lower().split() for x in split]
             ends = np.cumsum([len(x) for x in split])
@@ -197,7 +195,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILA
 
     docs needs doc_id and text; ``similar`` is a percentage.
     """
-    texts, rows = common.bounded(docs).select("doc_id", "text"), docs.count()
+    texts, rows = docs.select("doc_id", "text"), docs.count()
 
     def written(df: DataFrame, name: str) -> DataFrame:
         return common.written(df, name, rows)

@@ -24,10 +24,6 @@ from pyspark.sql import functions as F
 
 from . import common, winnow
 
-#: Documents that are handled at once in a task.
-SLICE = 512
-
-
 @dataclass(frozen=True)
 class Repeats:
     """How to find repeats: ``units`` splits a text into the byte strings to be compared."""
@@ -48,7 +44,7 @@ class Repeats:
         columns ``schema`` names with their types.
         """
         once = (
-            common.bounded(docs).select("_k", "_t", "text")
+            docs.select("_k", "_t", "text")
             .mapInArrow(self._anchors(), "_k long, _t long, p int, h long")
             .groupBy("h")
             .agg(F.count("*").alias("n"), F.max("_k").alias("_k"), F.max("_t").alias("_t"), F.max("p").alias("p"))
@@ -68,8 +64,7 @@ class Repeats:
 
     def _sliced(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in common.slices(batch):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 split = [self.units(x) for x in texts]
                 lengths = np.fromiter(map(len, split), np.int64, len(split))

@@ -306,44 +306,88 @@ def test_common_licenses(spark):
 # -- language ----------------------------------------------------------------------------------------
 
 
-def _distribution(counts, context, base):
-    """The full distribution after a context, by the definition of the module."""
-    low = _distribution(counts, context[1:], base) if context else [1 / base] * base
-    here = counts[tuple(context)]
-    n, d = sum(here.values()), len(here)
-    if not n:
-        return low
-    unseen = sum(low[s] for s in range(base) if not here[s])
-    if unseen <= 0:
-        return [here[s] / n for s in range(base)]
-    return [here[s] / (n + d) if here[s] else d / (n + d) * low[s] / unseen for s in range(base)]
+def brute_bits(learned, text, order=language_id.ORDER):
+    """Code length of a text after learning from another one, byte by byte, by the definition of the module."""
+    lower = lambda x: bytes(c + 32 if 65 <= c <= 90 else c for c in x)
+    counts = collections.defaultdict(collections.Counter)
+    seq = language_id.LEAD * (2 * order) + lower(learned)
+    for i in range(order, len(seq)):
+        for k in range(order + 1):
+            counts[seq[i - k : i]][seq[i]] += 1
+
+    cache = {}
+
+    def distribution(context):
+        if context not in cache:
+            low = distribution(context[1:]) if context else [1 / 256] * 256
+            here = counts[context]
+            n, d = sum(here.values()), len(here)
+            unseen = sum(low[s] for s in range(256) if s not in here)
+            cache[context] = low if not n else [here[s] / (n + d) if s in here else d / (n + d) * low[s] / unseen for s in range(256)]
+            assert abs(sum(cache[context]) - 1) < 1e-9
+        return cache[context]
+
+    data = language_id.LEAD * order + lower(text)
+    return -sum(math.log2(distribution(data[i - order : i])[data[i]]) for i in range(order, len(data)))
+
+
+ALPHABETS = ["abcdefghijklmno", "абвгдежзийклмно", "αβγδεζηθικλμνξο"]
+
+
+def invented(i, n, seed):
+    """Text of the i-th of twelve languages in three scripts: words over a script, drawn with the language's own habits."""
+    rng = np.random.default_rng([i, 77])
+    letters = list(ALPHABETS[i % 3])
+    words = ["".join(rng.choice(letters, rng.integers(2, 7), p=rng.dirichlet(np.full(15, 0.4)))) for _ in range(40)]
+    draw = np.random.default_rng([i, seed])
+    return " ".join(draw.choice(words, n))
 
 
 def test_code_lengths_are_exact():
-    rng = np.random.default_rng(4)
-    base, order = 5, 2
-    learned = rng.choice(base, 300, p=[0.5, 0.3, 0.1, 0.1, 0.0]).tolist()
-    table = language_id.code_lengths(np.array([0] * order + learned), order, base)
-    counts = collections.defaultdict(collections.Counter)
-    seq = [0] * order + learned
-    for k in range(order + 1):  # a context of k symbols is counted wherever k symbols stand before
-        for i in range(k, len(seq)):
-            counts[tuple(seq[i - k : i])][seq[i]] += 1
-    for context in itertools.product(range(base), repeat=order):
-        p = _distribution(counts, list(context), base)
-        assert abs(sum(p) - 1) < 1e-9
-        at = context[0] * base + context[1]
-        got = table.reshape(-1, base)[at]
-        for s in range(base):
-            assert math.isclose(2 ** -float(got[s]), p[s], rel_tol=1e-4), (context, s)
+    learned = {f"l{i}": invented(i, 60, 0).encode() for i in range(3)} | {"all": bytes(range(256)) * 3 + b"\xff" * 9}
+    model = language_id.fit(learned, dict.fromkeys(learned, 1))
+    texts = [invented(i, 12, 1).encode() for i in range(4)] + [b"", b"Q\xff\x00\n\nab", bytes(range(256))]
+    got = language_id.lengths(model, texts)
+    for t, row in zip(texts, got):
+        for lang, bits in zip(model.langs, row):
+            assert math.isclose(bits, brute_bits(learned[lang], t), rel_tol=1e-5, abs_tol=1e-3), (t, lang)
+
+
+def test_twelve_languages_in_three_scripts(spark):
+    rows = [(100 * i + j, invented(i, 30, j), f"l{i:02d}", "s", 0) for i in range(12) for j in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.learned(docs)
+    assert model.order == language_id.ORDER and model.langs == tuple(f"l{i:02d}" for i in range(12))
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    taught = collections.defaultdict(list)
+    for d, t, lang, *_ in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            taught[lang].append((d, t))
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    joined = {x: b"".join(t.encode() + b"\n" for _, t in sorted(own, key=lambda r: order[r[0]])) for x, own in taught.items()}
+    total = sum(map(len, taught.values()))
+    for d, t, *_ in rows[::17]:
+        bits = {x: brute_bits(joined[x], t.encode()) for x in joined}
+        whole = {x: b - math.log2(len(taught[x]) / total) for x, b in bits.items()}
+        best = min(whole, key=lambda x: (whole[x], x))
+        share = min(1, language_id.EVIDENCE / len(t.encode()))
+        assert got[d].lang_pred == best
+        assert math.isclose(got[d].score, 1 / sum(2 ** ((whole[best] - w) * share) for w in whole.values()), rel_tol=1e-3)
+        assert math.isclose(got[d].bits, min(bits.values()) / len(t.encode()), rel_tol=1e-4)
+
+
+def test_languages_do_not_change_each_other():
+    few = {f"l{i}": invented(i, 40, 0).encode() for i in range(2)}
+    many = {f"l{i}": invented(i, 40, 0).encode() for i in range(12)}
+    text = [invented(0, 20, 3).encode()]
+    a, b = (language_id.lengths(language_id.fit(x, dict.fromkeys(x, 1)), text) for x in (few, many))
+    assert a[0].tolist() == [b[0][language_id.fit(many, dict.fromkeys(many, 1)).langs.index(x)] for x in ("l0", "l1")]
 
 
 def test_batches_agree_with_single_texts():
     model = language_id.fit({"a": b"the cat sat on the mat " * 50, "b": "übermäßig große Bäume ".encode() * 50}, {"a": 3, "b": 1})
-    texts = ["the mat".encode(), b"", "große Katze".encode(), b"x" * 5000, "Bäume on".encode()]
-    assert np.allclose(language_id._batched(model, texts), language_id.lengths(model, texts), atol=1e-2)
-    long = b"the cat " * (language_id.CHUNK // 4)
-    assert np.allclose(language_id._batched(model, [long]), language_id.lengths(model, [long]))
+    texts = ["the mat".encode(), b"", "große Katze".encode(), b"x" * 5000, b"the cat " * (language_id.CHUNK // 4), "Bäume on".encode()]
+    assert np.allclose(language_id.lengths(model, texts), [language_id.lengths(model, [t])[0] for t in texts], rtol=1e-5)
 
 
 def test_language_of_held_out(spark):
@@ -366,11 +410,6 @@ def test_language_of_odd_rows(spark, odd, none):
     assert language_id.learned(odd.withColumn("lang", F.lit(None).cast("string"))).langs == ()
 
 
-def test_order_falls_with_languages():
-    many = {f"l{i}": b"abc " * 9 for i in range(40)}
-    assert language_id.fit(many, dict.fromkeys(many, 1), table_bytes=8 << 20).order < 3
-
-
 # -- fingerprints ------------------------------------------------------------------------------------
 
 
