@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder that stands in on a local master, and the tables of this application.
 _own: list[str] = []
+_made: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; without that setting a temporary one, for a local master only."""
+    """A new path in the shared folder; without that setting in a folder of this machine, for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -19,7 +21,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="graphloom-"))
         base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,3 +30,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that no plan will read again; other tables are left alone."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        for path in [p for p in _made if folder.endswith(p.rsplit("/", 1)[-1])]:
+            _delete(table.sparkSession, path)
+            _made.remove(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that this application has made, once its results are written elsewhere; how many there were."""
+    for path in _made:
+        _delete(spark, path)
+    n = len(_made)
+    _made.clear()
+    return n
