@@ -1,14 +1,18 @@
 """Seed and extend: repeated runs of units (words or lines) over a whole corpus.
 
-1. Every document gives its winnowed anchors. Anchors are counted over the corpus; those found once
-   cannot be part of a repeat, so only their places go back to their documents.
-2. Around every other anchor the match is extended both ways: all runs of the threshold length that
-   hold the anchor are hashed (128 bits) and counted. The aggregate carries the place of the run to
-   spare (the only one, or the first one), and these places go back to their documents.
-3. A document drops the units covered by its candidate runs that are not spared. Overlapping runs
-   unite, so maximal repeats go as a whole.
-
-Both aggregates combine on the map side, so a run that a third of all documents share costs one row
+1. Seeds: every document gives its winnowed anchors. Anchors found once cannot be part of a repeat, so
+   their places go back to their documents and nothing more is made of them.
+2. Positions of an anchor meet by its hash, each extended both ways at once: as far as any run that it
+   stands for can reach, ``window - 1`` units to either side (less at the ends of a document). Places
+   with the same anchor and the same extension are one class, represented by its first place. What lies
+   inside a repeat falls into such classes: one row for each anchor, whatever the number of copies.
+3. Only where places of an anchor differ in their extension - at the ends of maximal repeats - does the
+   extension go unit by unit: the representatives give the runs of the threshold length around the
+   anchor, a step to the left and to the right each, and equal ones meet by hash (128 bits).
+4. Places to spare go back to their documents, which drop all other runs with a repeated anchor.
+   Overlapping runs unite, so maximal repeats go as a whole.
+
+All aggregates combine on the map side, so a run that a third of all documents share costs one row
 a task, and no pair of documents is ever formed.
 """
 
@@ -24,102 +28,160 @@ from pyspark.sql import functions as F
 
 from . import common, winnow
 
+#: What becomes of the runs of a representative's anchor: all are spared; those are that no other place
+#: (or no earlier one) has; none is. Of a long unit: it is spared.
+ALL, SINGLE, NO, UNIT = range(4)
+
+
 @dataclass(frozen=True)
 class Repeats:
-    """How to find repeats: ``units`` splits a text into the byte strings to be compared."""
+    """How to find repeats: ``units`` splits a text into the byte strings to be compared.
+
+    Runs of ``gram + window - 1`` units are the shortest repeats, and single units for which ``long``
+    holds. With ``first_stays`` the first place of a repeat is kept.
+    """
 
     units: Callable[[bytes], list[bytes]]
     gram: int
     window: int
     first_stays: bool
+    long: Callable[[bytes], bool] | None = None
 
     @property
     def run(self) -> int:
         return self.gram + self.window - 1
 
     def marked(self, docs: DataFrame, finish: Callable, schema: list[tuple[str, str]]) -> DataFrame:
-        """``finish(text, removed)`` for each document of ``common.keyed``; removed is a boolean for each unit.
+        """``finish(text, units, removed)`` for each document of ``common.keyed``; removed is a boolean for each unit.
 
         docs needs _k, _t, doc_id, text; further columns pass through to ``finish``'s row, whose
         columns ``schema`` names with their types.
         """
-        once = (
-            docs.select("_k", "_t", "text")
-            .mapInArrow(self._anchors(), "_k long, _t long, p int, h long")
-            .groupBy("h")
-            .agg(F.count("*").alias("n"), F.max("_k").alias("_k"), F.max("_t").alias("_t"), F.max("p").alias("p"))
-            .where("n = 1")
-            .groupBy("_k", "_t")
-            .agg(F.collect_list("p").alias("once"))
-        )
-        seeded = docs.join(once, ["_k", "_t"], "left")
-        runs = seeded.mapInArrow(self._runs(), "_k long, _t long, p int, h1 long, h2 long").groupBy("h1", "h2")
+        key, place = ["_k", "_t"], "_k long, _t long, p int"
+        gathered = lambda df, name, x="p": df.groupBy(*key).agg(F.collect_list(x).alias(name))
+        any_place = [F.max(c).alias(c) for c in ("_k", "_t", "p")]  # of a single row, its own
+
+        seeds = docs.select(*key, "text").mapInArrow(self._anchors(), f"{place}, h long").groupBy("h")
+        once = gathered(seeds.agg(F.count("*").alias("n"), *any_place).where("n = 1"), "once")
+        seeded = docs.join(once, key, "left")
+
+        places = seeded.mapInArrow(self._extended(), f"{place}, h long, f1 long, f2 long, unit boolean")
+        classes = places.groupBy("h", "f1", "f2", "unit").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_t", "p")).alias("at"))
         if self.first_stays:
-            at = F.min(F.struct("_k", "_t", "p"))
-            spared = runs.agg(at.alias("at")).select("at.*")
+            others = classes.groupBy("h", "unit").agg(F.count("*").alias("classes"))
+            mark = F.when(F.col("unit"), UNIT).when(F.col("classes") == 1, ALL).otherwise(SINGLE)
+            marks = classes.join(others, ["h", "unit"]).select("at.*", mark.alias("mark"))
         else:
-            spared = runs.agg(F.count("*").alias("n"), F.max("_k").alias("_k"), F.max("_t").alias("_t"), F.max("p").alias("p")).where("n = 1")
-        spared = spared.groupBy("_k", "_t").agg(F.collect_list("p").alias("spared"))
-        return seeded.join(spared, ["_k", "_t"], "left").mapInArrow(self._finish(finish, [n for n, _ in schema]), ", ".join(f"`{n}` {kind}" for n, kind in schema))
+            alone = classes.where("n = 1")
+            others = classes.where("n > 1").join(alone.select("h").distinct(), "h", "left_semi")
+            marks = alone.select("at.*", F.lit(SINGLE).alias("mark")).unionByName(others.select("at.*", F.lit(NO).alias("mark")))
+        seeded = seeded.join(gathered(marks, "marks", F.struct("p", "mark")), key, "left")
 
-    def _sliced(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        runs = seeded.mapInArrow(self._runs(), f"{place}, h1 long, h2 long, own boolean").groupBy("h1", "h2")
+        if self.first_stays:
+            spared = runs.agg(F.min(F.struct("_k", "_t", "p")).alias("at")).select("at.*")
+        else:
+            spared = runs.agg(F.count("*").alias("n"), F.max("own").alias("own"), *any_place).where("n = 1 and own")
+        seeded = seeded.join(gathered(spared, "spared"), key, "left")
+        return seeded.mapInArrow(self._finish(finish, [n for n, _ in schema]), ", ".join(f"`{n}` {kind}" for n, kind in schema))
+
+    def _sliced(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
         for batch in batches:
             for part in common.slices(batch):
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                split = [self.units(x) for x in texts]
-                lengths = np.fromiter(map(len, split), np.int64, len(split))
-                units = winnow.hashed([u for x in split for u in x])
-                yield part, texts, split, lengths, units, winnow.ends_of(lengths)
+                yield _Slice(part, self)
 
     def _anchors(self) -> Callable:
         def run(batches):
-            for part, _, _, lengths, units, ends in self._sliced(batches):
-                _, chosen, grams = winnow.anchored(units, ends, self.gram, self.window)
-                places = winnow.distinct(chosen)
-                begin = np.r_[0, np.cumsum(lengths)]
-                doc = np.searchsorted(begin, places, "right") - 1
-                keys = [part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("_k", "_t")]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array((places - begin[doc]).astype(np.int32)), pa.array(grams[places].view(np.int64))], ["_k", "_t", "p", "h"])
+            for s in self._sliced(batches):
+                places = winnow.distinct(s.chosen)
+                yield s.rows(places, {"h": s.grams[places]})
 
         return run
 
-    def _candidates(self, part, lengths, units, ends) -> np.ndarray:
-        """Starts of runs whose anchor was found more than once."""
-        starts, chosen, _ = winnow.anchored(units, ends, self.gram, self.window)
-        once = part.column("once")
-        counts = once.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        alone = np.zeros(len(units) + 1, bool)
-        alone[np.repeat(np.cumsum(lengths) - lengths, counts) + once.flatten().to_numpy(zero_copy_only=False)] = True
-        return starts[~alone[chosen]]
+    def _extended(self) -> Callable:
+        def run(batches):
+            for s in self._sliced(batches):
+                places = winnow.distinct(s.chosen[s.repeated])
+                reach = self.window - 1
+                left, right = np.maximum(places - reach, s.begin[s.doc(places)]), np.minimum(places + self.gram + reach, s.ends[places] if len(places) else 0)
+                shape = ((places - left) * self.window + right - places).astype(np.uint64)
+                long = np.flatnonzero(s.long)
+                none = np.zeros(len(long), np.uint64)
+                columns = {"h": np.r_[s.grams[places], s.units[long]]}
+                columns |= {f"f{i + 1}": np.r_[winnow.mixed(s.hashes[i].of(left, right) + shape), none] for i in (0, 1)}
+                columns["unit"] = np.r_[np.zeros(len(places), bool), np.ones(len(long), bool)]
+                yield s.rows(np.r_[places, long], columns)
+
+        return run
 
     def _runs(self) -> Callable:
         def run(batches):
-            for part, _, _, lengths, units, ends in self._sliced(batches):
-                starts = self._candidates(part, lengths, units, ends)
-                begin = np.r_[0, np.cumsum(lengths)]
-                doc = np.searchsorted(begin, starts, "right") - 1
-                keys = [part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("_k", "_t")]
-                both = [winnow.rolled(units, self.run, i)[starts].view(np.int64) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array((starts - begin[doc]).astype(np.int32)), pa.array(both[0]), pa.array(both[1])], ["_k", "_t", "p", "h1", "h2"])
+            for s in self._sliced(batches):
+                mark = s.mark[s.chosen]
+                kept = s.repeated & ((mark == SINGLE) | (mark == NO))
+                starts = s.starts[kept]
+                yield s.rows(starts, {f"h{i + 1}": s.hashes[i].of(starts, starts + self.run) for i in (0, 1)} | {"own": mark[kept] == SINGLE})
 
         return run
 
     def _finish(self, finish: Callable, names: list[str]) -> Callable:
         def run(batches):
-            for part, texts, split, lengths, units, ends in self._sliced(batches):
-                begin = np.cumsum(lengths) - lengths
-                hit = np.zeros(len(units) + 1, bool)
-                hit[self._candidates(part, lengths, units, ends)] = True
-                spared = part.column("spared")
-                counts = spared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                hit[np.repeat(begin, counts) + spared.flatten().to_numpy(zero_copy_only=False)] = False
-                removed = winnow.covered(len(units), np.flatnonzero(hit), self.run)
-                rows = [finish(text, words, removed[a : a + n]) for text, words, a, n in zip(texts, split, begin, lengths)]
-                yield finished(part, rows, names)
+            for s in self._sliced(batches):
+                hit = np.zeros(len(s.units) + 1, bool)
+                hit[s.starts[s.repeated & (s.mark[s.chosen] != ALL)]] = True
+                hit[s.listed("spared")] = False
+                removed = winnow.covered(len(s.units), np.flatnonzero(hit), self.run) | (s.long & ~s.kept_units)
+                rows = [finish(text, units, removed[a : a + n]) for text, units, a, n in zip(s.texts, s.split, s.begin, s.lengths)]
+                yield finished(s.part, rows, names)
 
         return run
 
 
+class _Slice:
+    """Some documents of a task with their units in one array, and what earlier passes found in them."""
+
+    def __init__(self, part: pa.RecordBatch, how: Repeats):
+        self.part = part
+        self.texts = part.column("text").cast(pa.binary()).to_pylist()
+        self.split = [how.units(x) for x in self.texts]
+        self.lengths = np.fromiter(map(len, self.split), np.int64, len(self.split))
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        units = [u for x in self.split for u in x]
+        self.units, self.ends = winnow.hashed(units), winnow.ends_of(self.lengths)
+        self.long = np.fromiter(map(how.long, units), bool, len(units)) if how.long else np.zeros(len(units), bool)
+        self.hashes = [winnow.Rolling(self.units, i) for i in (0, 1)]
+        self.starts, self.chosen, self.grams = winnow.anchored(self.hashes[0], self.ends, how.gram, how.window)
+        once = np.zeros(len(units) + 1, bool)
+        once[self.listed("once")] = True
+        self.repeated = ~once[self.chosen]
+        #: of the anchor at each place; NOTHING where a place represents no class
+        self.mark = np.full(len(units) + 1, UNIT + 1, np.int8)
+        self.kept_units = np.zeros(len(units), bool)
+        if "marks" in part.schema.names:
+            at, mark = self.listed("marks", "p"), part.column("marks").flatten().field("mark").to_numpy(zero_copy_only=False)
+            self.kept_units[at[mark == UNIT]] = True
+            self.mark[at[mark != UNIT]] = mark[mark != UNIT]
+
+    def listed(self, name: str, field: str | None = None) -> np.ndarray:
+        """The places in a column of lists, as places in the slice."""
+        if name not in self.part.schema.names:
+            return np.zeros(0, np.int64)
+        column = self.part.column(name)
+        values = column.flatten() if field is None else column.flatten().field(field)
+        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return np.repeat(self.begin, counts) + values.to_numpy(zero_copy_only=False)
+
+    def doc(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.cumsum(self.lengths), places, "right")
+
+    def rows(self, places: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        doc = self.doc(places)
+        out = {c: self.part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("_k", "_t")}
+        out["p"] = (places - self.begin[doc]).astype(np.int32) if len(places) else np.zeros(0, np.int32)
+        out |= {c: x.view(np.int64) if x.dtype == np.uint64 else x for c, x in columns.items()}
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
+
+
 def finished(part: pa.RecordBatch, rows: list[dict], names: list[str]) -> pa.RecordBatch:
     """A batch of the columns ``names``, from ``rows`` or else from ``part``."""
     made = rows[0].keys() if rows else ()

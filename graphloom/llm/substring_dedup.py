@@ -1,6 +1,7 @@
 """Substring dedup: remove every word of a run of words that occurs more than once in the corpus.
 
-Method: seed and extend over winnowed word anchors (``repeats``). Words are the byte strings between
+Method: seed and extend (``repeats``): documents meet on winnowed word anchors, matches are extended both
+ways, and maximal repeats over the threshold go. Words are the byte strings between
 ASCII white space, unchanged. Defined results: null or empty text has no words; repeated rows are
 documents of their own, so their runs count as repeats; rows may have any further columns, which
 are ignored; an empty table gives an empty result.

@@ -10,6 +10,8 @@ its document.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 
@@ -31,30 +33,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(maxsize=4)
+def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2^64."""
+    by = _MULTIPLIERS[which]
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (by, pow(by, -1, 1 << 64)))
+
+
+class Rolling:
+    """Hashes of stretches of ``units`` of any length: a polynomial in the multiplier, from prefix sums."""
+
+    def __init__(self, units: np.ndarray, which: int = 0):
+        self.n = len(units)
+        up, self.down = _powers(which, 1 << max(10, int(self.n).bit_length()))
+        self.sums = np.cumsum(np.r_[np.uint64(0), units * up[: self.n]])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the units from each ``begin`` to before each ``end``."""
+        return mixed((self.sums[end] - self.sums[begin]) * self.down[begin])
+
+    def all(self, length: int) -> np.ndarray:
+        """Hash of every ``length`` consecutive units, by starting place."""
+        n = max(0, self.n - length + 1)
+        return mixed((self.sums[length : length + n] - self.sums[:n]) * self.down[:n])
+
+
 def rolled(units: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """Hash of every ``length`` consecutive units, by starting place."""
-    n = len(units) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, by = np.zeros(n, np.uint64), np.uint64(_MULTIPLIERS[which])
-    for j in range(length):
-        out *= by
-        out += units[j : n + j]
-    return mixed(out)
+    return Rolling(units, which).all(length)
 
 
 def ends_of(lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.cumsum(lengths), lengths)
 
 
-def anchored(units: np.ndarray, ends: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchored(units: Rolling, ends: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all runs of ``gram + window - 1`` units in one document, the anchor of each, and all gram hashes."""
     run = gram + window - 1
-    if len(units) < run:
+    if units.n < run:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    grams = rolled(units, gram)
-    starts = np.flatnonzero(np.arange(run, len(units) + 1) <= ends[: len(units) - run + 1])
+    grams = units.all(gram)
+    starts = np.flatnonzero(np.arange(run, units.n + 1) <= ends[: units.n - run + 1])
     smallest = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1)
     return starts, starts + smallest[starts], grams
 
