@@ -1,13 +1,15 @@
-"""Line dedup: delete later repeats of runs of lines, over the whole corpus.
+r"""Line dedup: delete later repeats of runs of lines, over the whole corpus.
 
 Method: winnowing over line hashes (``repeats``): window minima are the anchors, equal anchors meet
-in an aggregate, matches are extended both ways, and every run of at least ``gram + window - 1``
-lines that has an earlier occurrence goes. Earlier means a smaller doc_id (null last), then a smaller
-place in the same document. Lines end at \n, are compared without surrounding ASCII white space, and
-blank lines are neither compared nor deleted.
+by position, matches are extended both ways, and every run of at least ``gram + window - 1`` lines that
+has an earlier occurrence goes. A line of ``long_words`` words or more is its own fingerprint and goes
+alone if it stands anywhere before. Earlier means a smaller doc_id (null last), then a smaller place in
+the same document. Lines end at \n, are compared without surrounding ASCII white space, and blank lines
+are neither compared nor deleted.
 
 Defined results: null or empty text has no lines; rows equal in doc_id and text count as one document;
-a text that loses no line is returned as it is.
+a text that loses no line is returned as it is; further columns called n_lines or n_removed give way to
+the operator's own.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 from .repeats import Repeats
 
-#: Runs of 3 lines at least: 2 grams of 2 lines.
-GRAM, WINDOW = 2, 2
+#: Runs of 2 lines at least: 2 grams of a line each; lines of so many words also alone.
+GRAM, WINDOW, LONG_WORDS = 1, 2, 10
 _BLANK = b" \t\r\x0b\x0c"
 
 
@@ -36,16 +38,21 @@ def _kept(text: bytes, lines: list[bytes], removed: np.ndarray) -> dict:
     return {"n_lines": len(lines), "n_removed": gone, "text": text.decode()}
 
 
-def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with the text that stays, n_lines and n_removed; null text stays null."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with the text that stays, n_lines and n_removed; null text stays null.
+
+    ``long_words`` None leaves single lines, however long.
+    """
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    long = (lambda line: len(line.split()) >= long_words) if long_words else None
     packed = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("no_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("_rest"))
     keyed = common.keyed(packed, "_rest")
     kind = keyed.schema["_rest"].dataType.simpleString()
-    out = Repeats(_lines, gram, window, first_stays=True).marked(keyed, _kept, [("doc_id", "bigint"), ("text", "string"), ("n_lines", "bigint"), ("n_removed", "bigint"), ("_rest", kind)])
+    out = Repeats(_lines, gram, window, first_stays=True, long=long).marked(keyed, _kept, [("doc_id", "bigint"), ("text", "string"), ("n_lines", "bigint"), ("n_removed", "bigint"), ("_rest", kind)])
     text = F.when(~F.col("_rest.no_text"), F.col("text")).alias("text")
     by = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(rest)}
-    return out.select(*(by[c] for c in docs.columns), F.col("n_lines"), F.col("n_removed"))
+    return out.select(*(by[c] for c in names), F.col("n_lines"), F.col("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +67,13 @@ WITH l AS (
   FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
 ), u AS (
-  SELECT doc_id, i, t, row_number() OVER w AS p, lead(t) OVER w AS t2, lead(t, 2) OVER w AS t3
-  FROM l WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, t, row_number() OVER w AS p, lead(t) OVER w AS t2 FROM l WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY t, t2, t3 ORDER BY doc_id, p) AS nth FROM u WHERE t3 IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, p) AS nth FROM u WHERE t2 IS NOT NULL
+), long AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS nth FROM u WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 10
 ), gone AS (
-  SELECT DISTINCT r.doc_id, unnest(range(p, p + 3)) AS p FROM r WHERE nth > 1
+  SELECT r.doc_id, unnest(range(p, p + 2)) AS p FROM r WHERE nth > 1 UNION SELECT doc_id, p FROM long WHERE nth > 1
 ), f AS (
   SELECT l.doc_id, l.i, l.line, u.p IS NOT NULL AS counted, gone.p IS NOT NULL AS removed
   FROM l LEFT JOIN u USING (doc_id, i) LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.p
