@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.scratch import discard
+
 from .common import written
 
 
@@ -22,7 +24,8 @@ def components(links: DataFrame, rows: int = 0) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(least.withColumnRenamed("m", "v").union(rest).distinct(), "links", rows)
+        before, edges = edges, written(least.withColumnRenamed("m", "v").union(rest).distinct(), "links", rows)
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == seen or not now.n:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -40,8 +40,8 @@ SHINGLE, SIMILAR = 5, 80
 BANDS, ROWS = 80, 8
 #: Minima compared between two looks at the posterior; the chance of a miss at each look but the last, and at the last.
 BATCH, MISS, LAST_MISS = 64, 1e-9, 1e-6
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 512
+#: Members of a bucket that are compared with each other at once, and rows that go to a task together.
+BLOCK, DEALT = 2048, 4096
 _SEED = 20240229
 
 
@@ -197,10 +197,10 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILA
     """
     texts, rows = docs.select("doc_id", "text"), docs.count()
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        return common.written(df, name, rows)
+    def written(df: DataFrame, name: str, upto: int | None = rows) -> DataFrame:
+        return common.written(df, name, upto)
 
-    sketches = written(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sketches")
+    sketches = written(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sketches", None)  # costs much: small tasks are soon done again
     classes = written(sketches.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = written(
         sketches.where("n_shingles > 0").join(classes.where("node is not null").withColumnRenamed("node", "doc_id"), ["doc_id", "c1", "c2"]).withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "n"), "nodes"
@@ -235,7 +235,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILA
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     open_ = rooted.join(mixed, ["pos", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     open_ = written(open_.select("pos", "band", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "open")
-    groups = max(1, -(-open_.count() // (8 * BLOCK)))
+    groups = max(1, -(-open_.count() // DEALT))
     rest = (
         open_.join(near.select("node", "n", "bands"), "node")
         .groupBy(F.pmod(F.xxhash64("pos", "band", "lo", "hi"), F.lit(groups)).alias("g"))
