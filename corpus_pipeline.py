@@ -32,9 +32,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeats of runs of lines; n_chars follows the text. Documents stay, if need be empty."""
-    out = _files(docs, line_dedup.line_dedup(docs))
-    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    """Delete later repeats of runs of three lines or more; n_chars follows the text. Documents that lose all their words go.
+
+    Shorter repeats stay here: near copies share single lines, and without these the next stage could
+    not tell them for what they are.
+    """
+    rest = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(n) for c, n in rest.items())).alias("rest"))
+    out = line_dedup.line_dedup(rows, gram=2, window=2, long_words=None)
+    out = _files(docs, out.where((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD)))
+    by = {c: F.col(f"rest.{n}") for c, n in rest.items()} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    by |= {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*(by[c].alias(c) for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows(), SCHEMA)
-    return df.withColumns({c: F.lit(7) for c in ("_k", "_t", "hash", "size", "score", "h", "p", "n", "kept", "node", "times", "bucket", "trusted", "once", "_row")})
+    return df.withColumns({c: F.lit(7) for c in ("_k", "_t", "hash", "size", "score", "h", "p", "n", "kept", "node", "times", "bucket", "trusted", "once", "_row", "n_lines", "n_removed", "_kept", "_rest", "rest", "text_", "component_id", "n_shingles", "lang_pred", "bits", "matches", "owner", "marks", "mark", "f1", "unit", "target", "whole", "below", "row")})
 
 
 @pytest.fixture(scope="session")

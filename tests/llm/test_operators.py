@@ -62,11 +62,45 @@ def test_secrets(spark, odd, none):
         assert (got[i].n_assign, got[i].n_hex) == (sum(x.startswith("assign") for x in want), sum(x.startswith("hex") for x in want))
     assert "live:5:25" in got[4].spans and got[4].n_live == 1
     assert all(got[100 + i].spans == "" and got[100 + i].n_copied == 1 for i in range(3))
+    assert (got[100].n_owners, got[100].n_repositories) == (3, 3)
     assert secrets.secret_scan(none).count() == 0
     out = secrets.secret_scan(odd).collect()
     assert len(out) == len(odd_rows()) and sum(r.n_assign for r in out) == 1
 
 
+def test_secret_ownership(spark, monkeypatch):
+    """Owners and repositories both decide; a hot hash is dealt out."""
+    monkeypatch.setattr(secrets, "HOT_ROWS", 4)
+    key = lambda i: hashlib.sha256(b"%d" % i).hexdigest()[:16].upper() + "qz7"
+    rows = [(0, f"x {key(0)}xyz", None, "a", 0), (1, f"y {key(0)}xyz", None, "b", 0)]  # two owners: live
+    rows += [(10 + i, f"{key(1)}xyz", None, "a", 0) for i in range(10)]  # one owner, ten repositories: copied
+    rows += [(30 + i, f"é {key(2)}xyz", None, "a", 0) for i in range(9)]  # nine: live
+    rows += [(None, f"{key(3)}xyz {key(3)}xyz", None, None, 0)]
+    got = secrets.secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.spans, r.n_live, r.n_copied, r.n_owners, r.n_repositories))
+    n = len(key(0)) + 3
+    assert by[0] == by[1] == [(f"live:2:{2 + n}", 1, 0, 2, 2)]
+    assert all(by[10 + i] == [("", 0, 1, 1, 10)] for i in range(10)) and all(by[30 + i] == [(f"live:2:{2 + n}", 1, 0, 1, 9)] for i in range(9))
+    assert by[None] == [(f"live:0:{n},live:{n + 1}:{2 * n + 1}", 2, 0, 1, 0)]
+
+
+def test_secrets_of_a_key_dump(spark):
+    text = " ".join(f"{i:016x}" for i in range(100_000))
+    row = secrets.secret_scan(spark.createDataFrame([(1, text, None, "a", 0)], SCHEMA)).first()
+    assert row.n_hex == 100_000 and row.base_sha256 == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000)).encode()).hexdigest()
+
+
+def test_no_plain_secret_is_written(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(common, "scratch_path", lambda _, name: f"file://{tmp_path}/{name}")
+    secrets.secret_scan(spark.createDataFrame([(1, "password = 'Hunter2Hunter2'", None, "a", 0)], SCHEMA)).collect()
+    files = [*tmp_path.rglob("*.parquet")]
+    assert files and not any("Hunter2" in str(pq.read_table(f).to_pylist()) for f in files)
+
+
 def test_secret_scan_is_native(spark):
     plan = secrets.op1_secret_scan(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -82,7 +116,7 @@ def test_winnowed_anchors_are_guaranteed():
     a, b = (rng.integers(0, 1 << 60, n, dtype=np.uint64) for n in (200, 300))
     b[100:135] = a[20:55]
     units = np.concatenate([a, b])
-    starts, chosen, grams = winnow.anchored(units, winnow.ends_of(np.array([200, 300])), 12, 24)
+    starts, chosen, grams = winnow.anchored(winnow.Rolling(units), winnow.ends_of(np.array([200, 300])), 12, 24)
     by = dict(zip(starts.tolist(), chosen.tolist()))
     assert by[20] - 20 == by[300] - 300 and grams[by[20]] == grams[by[300]]
     assert len(starts) == 200 - 34 + 300 - 34 and max(starts) == 500 - 35
@@ -106,6 +140,7 @@ def test_substrings(spark, odd, none):
     base = [f"v{i}" for i in rng.integers(0, 40, 400)]
     docs = [(d, base[a : a + n] + [f"u{d}_{i}" for i in range(10)]) for d, (a, n) in enumerate(zip(rng.integers(0, 350, 30), rng.integers(1, 60, 30)))]
     docs.append((30, ["same"] * 80))
+    docs += [(40 + d, ws) for d, ws in docs[:5]] + [(50, base[40:60]), (51, ["x"] + base[40:60] + ["y"])]
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame([(d, " ".join(w), None, None, 0) for d, w in docs], SCHEMA), gram=3, window=4).collect()}
     gone = brute_repeats(docs, 6)
     for d, ws in docs:
@@ -122,12 +157,44 @@ def test_lines(spark, odd, none):
     got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1].text == rows[1][1] and got[1].n_lines == 5 and got[1].n_removed == 0
     assert got[2].text == "x" and got[2].n_removed == 3
-    assert got[3].text == "a\nb\n" and got[4].text == "r" and got[None].text == ""
+    assert got[3].text == "" and got[4].text == "r" and got[None].text == ""
     out = line_dedup.line_dedup(odd)
-    assert out.columns == [*odd.columns, "n_lines", "n_removed"] and out.count() == len(odd_rows())
+    assert out.columns == [*(c for c in odd.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"] and out.count() == len(odd_rows())
     assert {r.doc_id: r.text for r in out.collect()}[1] is None and line_dedup.line_dedup(none).count() == 0
 
 
+def brute_lines(rows, run, long_words):
+    """What stays of each (doc_id, text): later runs of ``run`` lines and later long lines go."""
+    first, gone, split = {}, collections.defaultdict(set), {}
+    for d, text in sorted(rows):
+        split[d] = [x for x in (line.strip() for line in text.split("\n")) if x]
+        for n in (run, 1):
+            for i in range(len(split[d]) - n + 1):
+                some = tuple(split[d][i : i + n])
+                if (n > 1 or (long_words and len(some[0].split()) >= long_words)) and first.setdefault(some, (d, i)) != (d, i):
+                    gone[d] |= set(range(i, i + n))
+    return {d: [x for i, x in enumerate(ls) if i not in gone[d]] for d, ls in split.items()}
+
+
+@pytest.mark.parametrize(("gram", "window", "long_words"), [(1, 2, 10), (2, 2, None), (2, 3, 3), (1, 4, None)])
+def test_lines_against_brute_force(spark, gram, window, long_words):
+    rng = np.random.default_rng(gram + 10 * window)
+    lines = [f"l{i}" for i in range(12)] + [" ".join(f"w{i}_{j}" for j in range(i - 9)) for i in range(12, 22)]
+    rows = [(d, "\n".join(rng.choice(lines[: rng.integers(3, 22)], rng.integers(0, 14)))) for d in range(120)]
+    rows += [(200 + d, rows[d][1]) for d in range(0, 40, 3)]
+    got = line_dedup.line_dedup(spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], SCHEMA), gram, window, long_words).collect()
+    want = brute_lines(rows, gram + window - 1, long_words)
+    assert {r.doc_id: [x for x in r.text.split("\n") if x] for r in got} == want
+
+
+def test_rolling_hashes():
+    units = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
+    again = winnow.Rolling(np.r_[units[100:300], units])
+    for length in (1, 7, 35):
+        assert np.array_equal(again.all(length)[: 201 - length], winnow.rolled(units, length)[100 : 301 - length])
+        assert np.array_equal(again.of(np.array([3, 50]), np.array([3, 50]) + length), again.all(length)[[3, 50]])
+
+
 # -- near dedup --------------------------------------------------------------------------------------
 
 
