@@ -55,6 +55,12 @@ def suffix_key(uid: Column) -> Column:
     return F.substring_index(uid, "/", -1)
 
 
+def suffixes(uid: Column) -> Column:
+    """All that stands after a slash: ``a/b/c`` gives ``b/c`` and ``c``."""
+    parts = F.split(uid, "/")
+    return F.transform(F.slice(parts, 2, F.size(parts)), lambda _, i: F.array_join(F.slice(parts, i + 2, F.size(parts)), "/"))
+
+
 def parent_path(path: Column) -> Column:
     """Directory that holds a path; ``.`` for one at the top."""
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))

@@ -32,23 +32,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on any store that Spark reads; whether there was one."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """Bytes and time of change (milliseconds) of each file of a folder on any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [(f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
 
 
 def discard(table: DataFrame) -> None:
     """Delete a written table that no plan will read again; other tables are left alone."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         for path in [p for p in _made if folder.endswith(p.rsplit("/", 1)[-1])]:
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
             _made.remove(path)
 
 
 def clear(spark: SparkSession) -> int:
     """Delete all tables that this application has made, once its results are written elsewhere; how many there were."""
     for path in _made:
-        _delete(spark, path)
+        delete(spark, path)
     n = len(_made)
     _made.clear()
     return n

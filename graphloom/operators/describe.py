@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.ident import is_stale
+from graphloom.functions.scratch import written
+from graphloom.operators.graph import ancestors
 from graphloom.operators.reconcile import seed
 
 DIMENSION = 384
@@ -29,35 +32,87 @@ def eligible(structs: DataFrame) -> DataFrame:
     return structs.where("type not in ('field', 'directory')")
 
 
-def skeleton_text(structs: DataFrame) -> DataFrame:
+def skeleton_text(classes: DataFrame, children: DataFrame) -> DataFrame:
     """(id, text): each class's signature and its described children, as input to a description."""
     child = F.concat(F.col("id"), F.lit(" | "), F.coalesce("signature", "uid"), F.lit("\n// "), F.col("description"))
-    children = structs.where("description <> ''").groupBy(F.col("parent_uid").alias("uid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", child.alias("t")))), lambda x: x["t"]), "\n").alias("children"))
-    return structs.where("type = 'class'").join(children, "uid", "left").select("id", F.concat_ws("\n", "signature", "children").alias("text"))
+    listed = children.where("description <> ''").groupBy(F.col("parent_uid").alias("uid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", child.alias("t")))), lambda x: x["t"]), "\n").alias("children"))
+    return classes.join(listed, "uid", "left").select("id", F.concat_ws("\n", "signature", "children").alias("text"))
+
+
+def _filled_in(rows: DataFrame, children: DataFrame) -> DataFrame:
+    """``rows`` with what needs no client: empty files are called so, a file whose only child is a class or field takes its description."""
+    child = children.groupBy(F.col("parent_uid").alias("uid")).agg(F.count("*").alias("_n"), F.min(F.struct("type", "description")).alias("_only"))
+    empty = (F.col("type") == "file") & F.col("_n").isNull() & (F.trim(F.coalesce("body", F.lit(""))) == "")
+    single = (F.col("type") == "file") & (F.col("_n") == 1) & (F.col("_only.type") != "method")
+    text = F.when(empty, F.lit("Empty File")).when(single, F.nullif(F.col("_only.description"), F.lit("")))
+    return rows.join(child, "uid", "left").withColumn("description", F.coalesce(_filled("description"), text, F.lit(""))).select(*rows.columns)
 
 
 def described(structs: DataFrame, lock: DataFrame, client: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | None = None) -> DataFrame:
     """``structs`` with descriptions: their own, else the lockfile's of the same content, else the client's.
 
-    Empty files are called so; a file whose only child is a class or field takes its description. The
-    client is a pandas iterator function from text to description, in batches where the rows lie; there
-    is none unless one is given.
+    The client is a pandas iterator function from text to description, in batches where the rows lie; there
+    is none unless one is given. It is asked level by level, children before parents, each level a written
+    table; a class is described from its signature and its described children.
     """
     rows = seed(structs, lock)
-    child = rows.groupBy(F.col("parent_uid").alias("uid")).agg(F.count("*").alias("_n"), F.min(F.struct("type", "description")).alias("_only"))
-    rows = rows.join(child, "uid", "left")
-    empty = (F.col("type") == "file") & F.col("_n").isNull() & (F.trim(F.coalesce("body", F.lit(""))) == "")
-    single = (F.col("type") == "file") & (F.col("_n") == 1) & (F.col("_only.type") != "method")
-    text = F.when(empty, F.lit("Empty File")).when(single, F.nullif(F.col("_only.description"), F.lit("")))
-    out = F.coalesce(_filled("description"), text)
-    if client is not None:
+    if client is None:
+        return _filled_in(rows, rows)
+
+    def asked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from client(texts)
 
-        def asked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            yield from client(texts)
+    depth = ancestors(structs.select(F.col("uid").alias("id"), F.col("parent_uid").alias("parent_id"))).groupBy(F.col("id").alias("uid")).agg(F.max("depth").alias("_depth"))
+    rows = written(rows.join(depth, "uid").select(*structs.columns, "_depth"), "levels")
+    deepest = rows.agg(F.max("_depth")).first()[0]
+    out = below = rows.limit(0)
+    for level in range(-1 if deepest is None else deepest, -1, -1):
+        here = _filled_in(rows.where(F.col("_depth") == level), below)
+        texts = skeleton_text(here.where("type = 'class'"), below).withColumnRenamed("text", "_class")
+        ask = F.pandas_udf(asked, "string")(F.coalesce(F.nullif("_class", F.lit("")), embedding_text()))
+        open_ = here.where("description = '' and type in ('file', 'class', 'method')").join(texts, "id", "left")
+        open_ = open_.withColumn("description", F.coalesce(ask, F.lit(""))).select(*rows.columns)
+        below = written(open_.unionByName(here.where("description <> '' or type not in ('file', 'class', 'method')")), "described")
+        out = out.unionByName(below)
+    return out.select(*structs.columns)
 
-        ask = F.pandas_udf(asked, "string")
-        out = F.coalesce(out, F.when(F.col("type").isin("file", "class", "method"), ask(embedding_text())))
-    return rows.withColumn("description", F.coalesce(out, F.lit(""))).select(*structs.columns)
+
+class ClientError(Exception):
+    """Settings name a client that is not there."""
+
+
+def retrying(call: Callable[[str], str], attempts: int = 3, backoff: float = 2.0, at_once: int = 10, again: tuple[type[Exception], ...] = (TimeoutError, ConnectionError)) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """A client for ``described`` from a function of one text.
+
+    A worker has ``at_once`` calls under way at most. Errors in ``again`` are tried again after backoff,
+    2 * backoff, ... seconds; a text whose attempts are used up, or that fails otherwise, stays without a description.
+    """
+
+    def one(text: str) -> str | None:
+        for k in range(attempts):
+            try:
+                return call(text)
+            except again:
+                if k + 1 < attempts:
+                    time.sleep(backoff * 2**k)
+            except Exception:  # noqa: BLE001 - a text that cannot be described costs itself only
+                break
+        return None
+
+    def client(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for part in texts:
+                yield pd.Series(list(pool.map(one, part)), dtype=object)
+
+    return client
+
+
+def client_for(settings: dict, clients: dict[str, Callable], override: str | None = None) -> Callable | None:
+    """The client that ``override`` or else the settings' ``[llm] strategy`` names; none for ``none`` or without either."""
+    name = override or settings.get("llm", {}).get("strategy") or "none"
+    if name != "none" and name not in clients:
+        raise ClientError(f"no description client is called {name}; known: {', '.join(sorted(clients)) or 'none'}")
+    return clients.get(name)
 
 
 def pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -78,7 +133,10 @@ def hashed_vectors(rows: DataFrame, dimension: int = DIMENSION) -> DataFrame:
 
 
 def model_vectors(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], dimension: int = DIMENSION, batch: int = 32) -> DataFrame:
-    """(id, vector) of rows (id, text) by a model that ``load`` brings up once a worker; a batch that fails gives nulls."""
+    """(id, vector) of rows (id, text) by a model that ``load`` brings up once a worker; a batch that fails gives nulls.
+
+    The model gives a vector for each text, or token vectors and their mask, which are pooled.
+    """
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
@@ -87,13 +145,10 @@ def model_vectors(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.n
             for at in range(0, len(part), batch):
                 some = part.iloc[at : at + batch].tolist()
                 try:
-                    out += [v.astype(np.float32).tolist() for v in model(some)]
+                    made = model(some)
+                    out += [v.astype(np.float32).tolist() for v in (pooled(*made) if isinstance(made, tuple) else made)]
                 except Exception:  # noqa: BLE001 - whatever a model raises costs its batch only
                     out += [None] * len(some)
             yield pd.Series(out)
 
     return rows.select("id", F.pandas_udf(run, "array<float>")("text").alias("vector"))
-
-
-def fresh(structs: DataFrame) -> DataFrame:
-    return structs.where(~is_stale(F.coalesce("description", F.lit(""))))

@@ -3,7 +3,8 @@
 Files have path, content (binary) and lang. Python goes through the standard ``ast``, Java through a
 scanner of its structure, both as small helpers inside ``mapInArrow``; HTML needs expressions only.
 
-A file that cannot be parsed gives its file node alone. Only direct children are nodes: code below
+Of a Python file with errors the definitions around them are read, and ``parsed`` is false: whoever keeps a
+graph can then keep what else the file held before. No file's content fails the job. Only direct children are nodes: code below
 ``if`` or ``try`` and nested functions are not, but their calls belong to the method around them.
 """
 
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import io
 import re
+import tokenize
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,11 +28,13 @@ NODE = (
     "uid string, name string, type string, path string, parent_uid string, lang string, ord int, signature string, body string, diff_hash string, start_line int, end_line int, "
     "inherits array<string>, field_type string, arity int, package string, imports array<string>, calls array<struct<name:string,arity:int,receiver:string,is_creation:boolean>>"
 )
-_NAMES = [x.split()[0] for x in re.sub(r"<.*?>+", "", NODE).split(", ")]
+#: What ``extract`` gives: nodes, and whether their file could be parsed.
+EXTRACTED = f"{NODE}, parsed boolean"
+_NAMES = [x.split()[0] for x in re.sub(r"<.*?>+", "", EXTRACTED).split(", ")]
 
 
 def _node(**given) -> dict:
-    return dict.fromkeys(_NAMES) | {"inherits": [], "imports": [], "calls": []} | given
+    return dict.fromkeys(_NAMES) | {"inherits": [], "imports": [], "calls": [], "parsed": True} | given
 
 
 def _anchor(path: str, module: str) -> str:
@@ -68,13 +73,18 @@ def _imports(tree: ast.Module, path: str) -> tuple[list[str], dict[str, str]]:
     return list(dict.fromkeys(out)), alias
 
 
+def decoded(data: bytes) -> str:
+    """A Python source by the coding it declares, without a byte order mark."""
+    coding, _ = tokenize.detect_encoding(io.BytesIO(data).readline)
+    return data.decode(coding).removeprefix("\ufeff")
+
+
 class _Source:
-    """Texts of nodes by line and byte column."""
+    """Texts of nodes by line and byte column, both as ``ast`` counts them: lines end at \\n, \\r\\n and \\r."""
 
-    def __init__(self, data: bytes):
-        self.data, self.starts = data, [0]
-        for line in data.split(b"\n"):
-            self.starts.append(self.starts[-1] + len(line) + 1)
+    def __init__(self, text: str):
+        self.data = text.encode("utf-8", "replace")
+        self.starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", self.data))]
 
     def text(self, node: ast.AST) -> str:
         return self.data[self.starts[node.lineno - 1] + node.col_offset : self.starts[node.end_lineno - 1] + node.end_col_offset].decode("utf-8", "replace")
@@ -110,19 +120,64 @@ def _parameters(source: _Source, args: ast.arguments) -> list[str]:
     return texts
 
 
+def file_node(path: str, data: bytes, text: str | None = None) -> dict:
+    return {"uid": path, "name": path.rsplit("/", 1)[-1], "type": "file", "start_line": 1, "end_line": data.count(b"\n") + (not data.endswith(b"\n")), "body": data.decode("utf-8", "replace") if text is None else text, "diff_hash": hashlib.md5(data).hexdigest()}
+
+
+_BLOCK = re.compile(r"[^\s#)\]}]")
+_GOES_ON = re.compile(r"(?:elif|else|except|finally)\b")
+
+
+def _parses(lines: list[str]) -> bool:
+    text = "".join(lines)
+    try:
+        ast.parse(f"if 1:\n{text}" if text[:1].isspace() else text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+def _mended(lines: list[str], indent: str = "") -> list[str]:
+    """``lines`` with empty ones in place of the statements, at this indentation, that do not parse; in classes, of those inside."""
+    inside = lambda line: line.startswith(indent) and bool(_BLOCK.match(line[len(indent) :])) and not _GOES_ON.match(line[len(indent) :])
+    starts = [i for i, line in enumerate(lines) if inside(line)]
+    out = ["\n"] * (starts[0] if starts else len(lines))
+    at = 0
+    while at < len(starts):
+        begin = starts[at]
+        while at + 1 < len(starts) and lines[starts[at]].lstrip().startswith("@"):
+            at += 1
+        end = starts[at + 1] if at + 1 < len(starts) else len(lines)
+        block, head = lines[begin:end], starts[at] - begin + 1
+        if not _parses(block) and lines[starts[at]].lstrip().startswith("class") and _parses([*block[:head], f"{indent} pass\n"]):
+            body = next((re.match(r"\s*", line)[0] for line in block[head:] if line.strip()), "")
+            kept = _mended(block[head:], body) if len(body) > len(indent) else []
+            block = [*block[:head], *kept, *[f"{indent} pass\n"] * (not any(map(str.strip, kept)))][: len(block)]
+        out += block if _parses(block) else ["\n"] * (end - begin)
+        at += 1
+    return out
+
+
 def python_nodes(path: str, data: bytes) -> Iterator[dict]:
-    source = _Source(data)
-    file = {"uid": path, "name": path.rsplit("/", 1)[-1], "type": "file", "start_line": 1, "end_line": data.count(b"\n") + (not data.endswith(b"\n")), "body": data.decode("utf-8", "replace"), "diff_hash": hashlib.md5(data).hexdigest()}
+    text = decoded(data)
+    source, whole = _Source(text), True
     try:
-        tree = ast.parse(data)
-    except (SyntaxError, ValueError, RecursionError):
-        yield _node(**file)
-        return
+        tree = ast.parse(text)
+    except SyntaxError:
+        tree, whole = ast.parse("".join(_mended(re.findall(r".*?(?:\r\n|\r|\n)|.+$", text, re.S)))), False
     imports, alias = _imports(tree, path)
-    yield _node(**file, imports=imports, package=".".join(path.split("/")[:-1]))
+    yield _node(**file_node(path, data, text), imports=imports, package=".".join(path.split("/")[:-1]), parsed=whole)
     yield from _children(source, tree.body, path, True, alias)
 
 
+def parsed_nodes(parse: Callable[[str, bytes], Iterator[dict]], path: str, data: bytes) -> list[dict]:
+    """The nodes that ``parse`` finds in a file; of one uid the last stands. The file's own alone if it fails."""
+    try:
+        return list({r["uid"]: r for r in parse(path, data)}.values())
+    except Exception:  # noqa: BLE001 - whatever a parser raises (MemoryError at deep nesting included) costs its file only
+        return [_node(**file_node(path, data), parsed=False)]
+
+
 def _children(source: _Source, body: list[ast.stmt], parent: str, top: bool, alias: dict[str, str]) -> Iterator[dict]:
     for i, node in enumerate(body):
         if not isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef, ast.Assign, ast.AnnAssign)):
@@ -150,7 +205,7 @@ def _extractor(parse: Callable[[str, bytes], Iterator[dict]], lang: str) -> Call
         [
             (n, pa.list_(pa.struct([("name", pa.string()), ("arity", pa.int32()), ("receiver", pa.string()), ("is_creation", pa.bool_())])))
             if n == "calls"
-            else (n, pa.list_(pa.string()) if n in ("inherits", "imports") else pa.int32() if n in ("ord", "start_line", "end_line", "arity") else pa.string())
+            else (n, pa.list_(pa.string()) if n in ("inherits", "imports") else pa.int32() if n in ("ord", "start_line", "end_line", "arity") else pa.bool_() if n == "parsed" else pa.string())
             for n in _NAMES
         ]
     )
@@ -158,8 +213,8 @@ def _extractor(parse: Callable[[str, bytes], Iterator[dict]], lang: str) -> Call
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = {r["uid"]: _node(**(r | {"path": path, "lang": lang})) for r in parse(path, data or b"")}  # of one uid the last stands
-                yield pa.RecordBatch.from_pylist(list(rows.values()), schema)
+                rows = [_node(**(r | {"path": path, "lang": lang})) for r in parsed_nodes(parse, path, data or b"")]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -171,9 +226,9 @@ EXTRACTORS: dict[str, Callable[[str, bytes], Iterator[dict]]] = {"python": pytho
 def html_nodes(files: DataFrame) -> DataFrame:
     """The file node of each HTML file."""
     text = F.decode("content", "UTF-8")
-    columns = {"uid": F.col("path"), "name": F.substring_index("path", "/", -1), "type": F.lit("file"), "path": F.col("path"), "lang": F.lit("html"), "body": text, "diff_hash": F.md5("content"), "start_line": F.lit(1), "end_line": F.size(F.split(text, "\n")) - F.when(text.endswith("\n"), 1).otherwise(0)}
+    columns = {"uid": F.col("path"), "name": F.substring_index("path", "/", -1), "type": F.lit("file"), "path": F.col("path"), "lang": F.lit("html"), "body": text, "diff_hash": F.md5("content"), "start_line": F.lit(1), "end_line": F.size(F.split(text, "\n")) - F.when(text.endswith("\n"), 1).otherwise(0), "parsed": F.lit(True)}
     empty = {"inherits": F.array().cast("array<string>"), "imports": F.array().cast("array<string>"), "calls": F.array().cast("array<struct<name:string,arity:int,receiver:string,is_creation:boolean>>")}
-    kinds = {x.split()[0]: x.split()[1] for x in re.sub(r"struct<.*?>", "s", NODE).split(", ")}
+    kinds = {x.split()[0]: x.split()[1] for x in re.sub(r"struct<.*?>", "s", EXTRACTED).split(", ")}
     return files.select(*(columns.get(n, empty.get(n, F.lit(None).cast(kinds[n]) if n not in empty else None)).alias(n) for n in _NAMES))
 
 
@@ -181,7 +236,7 @@ def extract(files: DataFrame) -> DataFrame:
     """Nodes of all files (path, content, lang), with ids; directories come from ``sources.tree``."""
     out = html_nodes(files.where("lang = 'html'"))
     for lang, parse in EXTRACTORS.items():
-        out = out.unionByName(files.where(F.col("lang") == lang).mapInArrow(_extractor(parse, lang), NODE))
+        out = out.unionByName(files.where(F.col("lang") == lang).mapInArrow(_extractor(parse, lang), EXTRACTED))
     parent = F.coalesce("parent_uid", ident.parent_path(F.col("path")))
     out = out.withColumn("parent_uid", parent).withColumn("id", ident.node_id(F.col("type"), F.col("uid")))
     return out

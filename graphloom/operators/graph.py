@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.functions.ident import suffixes
 from graphloom.functions.scratch import written
 
 
@@ -76,6 +77,17 @@ def impact_score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(into, "id", "left").join(kinds, "id", "left").select("id", score.cast("long").alias("impact"))
 
 
+def type_counts(nodes: DataFrame) -> DataFrame:
+    """(type, n): how many nodes there are of each kind."""
+    return nodes.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def status_counts(nodes: DataFrame, edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """(type, n): nodes of each kind, and all ``edges`` and ``notes``."""
+    count = lambda df, name: df.agg(F.lit(name).alias("type"), F.count("*").alias("n"))
+    return type_counts(nodes).unionByName(count(edges, "edges")).unionByName(count(notes, "notes"))
+
+
 #: Order of children in a skeleton by kind; members of classes are not shown.
 SKELETON_ORDER = ("file", "directory", "class", "method")
 
@@ -131,12 +143,11 @@ def unique_names(nodes: DataFrame, name: str = "name", uid: str = "uid") -> Data
 def suffix_matches(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (candidate, uid) where the uid is the candidate or ends with ``/`` and it.
 
-    Both sides are bucketed by the last path segment, so the join hashes and only its residual compares
-    suffixes.
+    Every uid stands once for itself and once for each of its path suffixes, as many as it is deep, so the
+    whole candidate is the key of an equi-join: names that many files have, alone, gather nothing.
     """
-    left = candidates.select("candidate").distinct().withColumn("key", F.substring_index("candidate", "/", -1))
-    right = nodes.select("uid", F.substring_index("uid", "/", -1).alias("key"))
-    return left.join(right, "key").where((F.col("uid") == F.col("candidate")) | F.col("uid").endswith(F.concat(F.lit("/"), F.col("candidate")))).select("candidate", "uid")
+    ends = nodes.select("uid", F.explode(F.array_append(suffixes(F.col("uid")), F.col("uid"))).alias("candidate"))
+    return candidates.select("candidate").distinct().join(ends, "candidate").select("candidate", "uid")
 
 
 def ring(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame:

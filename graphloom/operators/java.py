@@ -15,7 +15,9 @@ _TYPE = re.compile(r"(?P<kind>class|interface|enum|record|@interface)\s+(?P<name
 _METHOD = re.compile(r"(?P<before>.*?)(?P<name>\w+)\s*\((?P<params>.*)\)\s*(?:throws\s[^{]*)?(?:default\s.*)?$", re.S)
 _ANNOTATION = re.compile(r"@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?")
 _MODIFIER = re.compile(r"\b(?:public|protected|private|static|final|abstract|native|synchronized|transient|volatile|strictfp|default|sealed)\b|\bnon-sealed\b")
-_CALL = re.compile(r"(?:\bnew\s+(?P<new>[\w.]+)(?:\s*<[^()]*?>)?|(?:(?P<receiver>[\w.]+(?:\([^()]*\))?)\s*\.\s*)?(?P<name>\b\w+))\s*\(")
+_CALL = re.compile(r"(\w+)\s*\(")
+#: Type arguments without others inside; a space before the bracket makes it a comparison.
+_GENERIC = re.compile(r"(?<=\w)<[\w\s,.?&\[\]]*>")
 _KEYWORDS = frozenset("if for while switch catch synchronized return new super this try do else throw assert".split())
 
 
@@ -31,14 +33,19 @@ def split_top(text: str, by: str = ",") -> list[str]:
 
 
 def erased(kind: str) -> str:
-    """A parameter's type without spaces to spare, generics and its lower-case package; varargs are arrays."""
-    kind = re.sub(r"\s+", " ", kind).strip().replace("...", "[]")
-    while "<" in kind:
-        shorter = re.sub(r"<[^<>]*>", "", kind)
-        if shorter == kind:
-            break
-        kind = shorter
-    return re.sub(r"^(?:[a-z_]\w*\.)+(?=[A-Z])", "", kind.replace(" ", ""))
+    """A parameter's type as overloads are told apart: without type arguments, white space and its package.
+
+    Packages are what stands before the first segment with an upper-case letter in front; where there is
+    none, the last segment is the type. Varargs are arrays.
+    """
+    kept, depth = [], 0
+    for c in kind:
+        depth += (c == "<") - (c == ">" and depth > 0)
+        if not depth and c != ">" and not c.isspace():
+            kept.append(c)
+    name, dimensions = re.fullmatch(r"(.*?)((?:\[\])*)", "".join(kept).replace("...", "[]")).groups()
+    own = re.search(r"(?:^|\.)([A-Z].*)", name)
+    return (own[1] if own else name.rpartition(".")[2]) + dimensions
 
 
 def import_candidate(name: str, wildcard: bool) -> str:
@@ -77,17 +84,84 @@ def _members(text: str, at: int, end: int) -> Iterator[tuple[int, str, int, int]
         at += 1
 
 
+class _Brackets:
+    """Where the brackets of a text open and close, and how many commas stand directly inside each."""
+
+    def __init__(self, text: str):
+        self.opens, self.closes, self.commas = {}, {}, {}
+        open_: list[int] = []
+        for m in re.finditer(r"[()\[\]{},]", text):
+            if m[0] in "([{":
+                open_.append(m.start())
+                self.commas[m.start()] = 0
+            elif m[0] == ",":
+                if open_:
+                    self.commas[open_[-1]] += 1
+            elif open_:
+                self.opens[m.start()] = open_.pop()
+                self.closes[self.opens[m.start()]] = m.start()
+
+
+def _begin(text: str, end: int, brackets: _Brackets, known: dict[int, int]) -> int:
+    """Where the expression begins that ends at ``end``: names, calls and subscripts joined by dots.
+
+    ``known`` holds where the calls found so far begin, so a long chain is walked once.
+    """
+    at = end
+    while True:
+        while at and text[at - 1].isspace():
+            at -= 1
+        closed = at and text[at - 1] in ")]"
+        if closed:
+            if at - 1 not in brackets.opens:
+                return at
+            at = brackets.opens[at - 1]
+        before = at
+        while before and text[before - 1].isspace():
+            before -= 1
+        if closed and before and text[before - 1] in ")]":
+            continue
+        name = before
+        while name and (text[name - 1].isalnum() or text[name - 1] in "_$"):
+            name -= 1
+        if name == before or (text[name:before] in _KEYWORDS and text[name:before] not in ("this", "super")):
+            return at if closed else end
+        if name in known:
+            return known[name]
+        at = name
+        while name and text[name - 1].isspace():
+            name -= 1
+        if name and text[name - 1] == ".":
+            at = name - 1
+            continue
+        made = re.search(r"\bnew$", text[max(0, name - 4) : name])
+        return name - 3 if made else at
+
+
 def _calls(text: str) -> list[dict]:
-    out = []
+    """Calls and creations in order of their names, each with the text of what it is called on."""
+    while (plain := _GENERIC.sub(lambda m: " " * len(m[0]), text)) != text:
+        text = plain
+    brackets, known, out = _Brackets(text), {}, []
     for m in _CALL.finditer(text):
-        name = m["new"] or m["name"]
-        if not name or name in _KEYWORDS:
+        name, at, paren = m[1], m.start(), m.end() - 1
+        if name in _KEYWORDS:
             continue
-        depth, i = 1, m.end()
-        while i < len(text) and depth:
-            depth += (text[i] in "([{") - (text[i] in ")]}")
-            i += 1
-        out.append({"name": name, "arity": len(split_top(text[m.end() : i - 1])), "receiver": m["receiver"] if not m["new"] else None, "is_creation": bool(m["new"])})
+        dot = at
+        while dot and text[dot - 1].isspace():
+            dot -= 1
+        chained = bool(dot) and text[dot - 1] == "."
+        begin = _begin(text, dot - 1, brackets, known) if chained else at
+        lead = re.search(r"\bnew\s*$", text[max(0, begin - 64) : begin])
+        made = re.fullmatch(r"(?:new\s+)?([\w.\s]+)", text[begin:paren]) if lead or text.startswith("new", begin) and text[begin + 3 : begin + 4].isspace() else None
+        known[at] = begin - len(lead[0]) if lead else begin
+        inside = text[paren + 1 : brackets.closes.get(paren, len(text))][:4096]
+        arity = brackets.commas[paren] + 1 if inside.strip() or brackets.commas[paren] else 0
+        if made:
+            out.append({"name": re.sub(r"\s", "", made[1]), "arity": arity, "receiver": None, "is_creation": True})
+        else:
+            receiver = text[begin : dot - 1].strip() if chained else ""
+            out.append({"name": name, "arity": arity, "receiver": receiver or None, "is_creation": False})
     return out
 
 

@@ -23,6 +23,12 @@ def seed(parsed: DataFrame, lock: DataFrame) -> DataFrame:
     return carry_over(parsed, lock)
 
 
+def first_seen(parsed: DataFrame, stored: DataFrame, key: str = "id", date: str = "date_added") -> DataFrame:
+    """``parsed`` with the earliest date that any version of a row had."""
+    first = stored.groupBy(key).agg(F.min(date).alias("_first"))
+    return parsed.join(first, key, "left").withColumn(date, F.least(date, "_first")).drop("_first").select(*parsed.columns)
+
+
 def upsert(stored: DataFrame, parsed: DataFrame, key: str = "id") -> DataFrame:
     """``stored`` with the rows of ``parsed`` in place of those with the same key; date_added stays the first one seen."""
     first = stored.groupBy(key).agg(F.min("date_added").alias("_first"))
@@ -54,8 +60,11 @@ def cascade_delete(deleted: DataFrame, structs: DataFrame, edges: DataFrame, vec
     return at(structs, "id"), at(at(edges, "source_id"), "target_id"), at(vectors, "id"), at(notes, "struct_id")
 
 
-def mark_stale(structs: DataFrame) -> DataFrame:
-    return structs.withColumn("description", staled(F.col("description")))
+def mark_stale(structs: DataFrame, changed: DataFrame, key: str = "path") -> DataFrame:
+    """``structs`` with the descriptions of the changed ones marked, until they are described anew."""
+    rows = structs.join(changed.select(key).distinct().withColumn("_changed", F.lit(True)), key, "left")
+    marked = F.when(F.col("_changed") & ~is_stale(F.col("description")), staled(F.col("description"))).otherwise(F.col("description"))
+    return rows.withColumn("description", marked).select(*structs.columns)
 
 
 def parsed_wins(parsed: DataFrame, stored: DataFrame, key: str = "uid") -> DataFrame:

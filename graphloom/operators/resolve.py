@@ -11,11 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.ident import suffix_key
 from graphloom.functions.scratch import written
 from graphloom.operators.extract import calls as calls_of
 from graphloom.operators.extract import import_candidates
-from graphloom.operators.graph import ancestors, containment_edges, first_by, lift_edges, unique_names
+from graphloom.operators.graph import ancestors, containment_edges, first_by, lift_edges, suffix_matches, unique_names
 
 #: Languages whose calls match by number of arguments as well (fixed values).
 STRICT_ARITY = ("java",)
@@ -38,10 +37,8 @@ def resolve_candidates(candidates: DataFrame, structs: DataFrame) -> DataFrame:
     wanted = candidates.select("candidate").distinct()
     modules = wanted.where("candidate like '%#%'").select(F.regexp_replace("candidate", "#[^#]*$", "").alias("candidate")).distinct()
     asked = wanted.unionByName(modules).distinct()
-    nodes = structs.select("uid", "name", suffix_key(F.col("uid")).alias("key"))
-    exact = asked.join(nodes.select(F.col("uid").alias("candidate"), "uid"), "candidate").select("candidate", F.lit(0).alias("rank"), F.col("uid").alias("target"))
-    suffix = asked.withColumn("key", suffix_key(F.col("candidate"))).join(nodes, "key").where(F.col("uid").endswith(F.concat(F.lit("/"), F.col("candidate"))))
-    found = first_by(exact.unionByName(suffix.select("candidate", F.lit(1).alias("rank"), F.col("uid").alias("target"))), ["candidate"], "rank", "target").select("candidate", "target")
+    hits = suffix_matches(asked, structs.select("uid")).withColumn("rank", (F.col("uid") != F.col("candidate")).cast("int"))
+    found = first_by(hits.select("candidate", "rank", F.col("uid").alias("target")), ["candidate"], "rank", "target").select("candidate", "target")
     found = written(found, "candidates")
     left = wanted.where("candidate like '%#%'").join(found, "candidate", "left_anti")
     left = left.select("candidate", F.regexp_replace("candidate", "#[^#]*$", "").alias("module"), bound_name(F.col("candidate")).alias("name"))

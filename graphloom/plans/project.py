@@ -74,27 +74,38 @@ class Project:
             by_uid = by_uid.join(ids.withColumnRenamed("uid", end).withColumnRenamed("id", f"_{end}"), end)
         return by_uid.select(F.col("_source_id").alias("source_id"), F.col("_target_id").alias("target_id"), "edge_type").distinct()
 
-    def _vectors(self, structs: DataFrame) -> DataFrame:
-        """Vectors of what is embedded, and of every directory the mean of the files below it."""
+    def _vectors(self, structs: DataFrame, before: Graph) -> DataFrame:
+        """Vectors of what is embedded, and of every directory the mean of the files below it.
+
+        Only texts that the version before did not embed are embedded now.
+        """
         if self.embed is None:
             return self.store.empty().vectors
-        rows = describe.eligible(structs).select("id", describe.embedding_text().alias("text"))
-        own = written(self.embed(rows), "vectors")
+        texts = lambda g: describe.eligible(g).select("id", describe.embedding_text().alias("text"))
+        rows, known = texts(structs), texts(before.structs).join(before.vectors.where("vector is not null"), "id")
+        kept = known.join(rows, ["id", "text"], "left_semi")
+        fresh = self.embed(rows.join(kept, ["id", "text"], "left_anti"))
+        own = written(reconcile.replace_vectors(kept.select("id", "vector"), fresh, full=False), "vectors")
         nodes = structs.where("type in ('directory', 'file')").select(F.col("id"), "parent_uid").join(structs.select(F.col("uid").alias("parent_uid"), F.col("id").alias("parent_id")), "parent_uid", "left").select("id", "parent_id")
         files = own.join(structs.where("type = 'file'").select("id"), "id", "left_semi").where("vector is not null")
         means = search.subtree_centroids(nodes, files).join(structs.where("type = 'directory'").select("id"), "id", "left_semi")
         means = means.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"].cast("float")).alias("vector"))
         return own.unionByName(means)
 
-    def _built(self, structs: DataFrame, before: Graph, lock: DataFrame | None) -> Graph:
+    def _held(self, structs: DataFrame, before: Graph) -> DataFrame:
+        """``structs`` without ``parsed``, and what files that cannot be parsed whole, as while they are being edited, held before."""
+        structs = written(structs, "parsed")
+        broken = structs.where("type = 'file' and not parsed").select("path")
+        held = before.structs.where("type <> 'directory'").join(broken, "path", "left_semi")
+        return reconcile.parsed_wins(structs.drop("parsed"), held)
+
+    def _built(self, structs: DataFrame, before: Graph, lock: DataFrame | None, client: Callable | None = None) -> Graph:
         """The graph of ``structs``, with what the version before and the lockfile know of unchanged nodes."""
         structs = reconcile.carry_over(structs, before.structs)
-        structs = describe.described(structs, lockfile.entries(lock, self.spark), self.client)
-        first = before.structs.groupBy("id").agg(F.min("date_added").alias("_first"))
-        structs = structs.join(first, "id", "left").withColumn("date_added", F.coalesce("_first", "date_added")).drop("_first")
-        structs = written(structs, "structs")
+        structs = describe.described(structs, lockfile.entries(lock, self.spark), client)
+        structs = written(reconcile.first_seen(structs, before.structs), "structs")
         incoming = lockfile.notes(lock, self.spark).join(structs.select("uid", F.col("id").alias("struct_id")), "uid").drop("uid")
-        kept = before.notes.join(structs.select(F.col("id").alias("struct_id")), "struct_id", "left_semi")
+        kept = reconcile.cascade_delete(reconcile.prune(before.structs, structs), before.structs, before.edges, before.vectors, before.notes)[3]
         merged = notes.merge(kept, incoming.withColumn("note_id", F.lit(None).cast("long")).select(*kept.columns)) if lock is not None else kept
         # a note that another side has updated keeps the id it has here
         ids = kept.groupBy("struct_id", "author", "date_added").agg(F.min("note_id").alias("_id"))
@@ -102,20 +113,23 @@ class Project:
         new = notes.numbered(merged.where("note_id is null").drop("note_id"), before.note_high_water)
         all_notes = written(merged.where("note_id is not null").unionByName(new.select(*merged.columns)), "notes")
         high = all_notes.agg(F.max("note_id")).first()[0] or 0
-        return Graph(structs, self._edges(structs), self._vectors(structs), all_notes, before.version, max(high, before.note_high_water))
+        return Graph(structs, self._edges(structs), self._vectors(structs, before), all_notes, before.version, max(high, before.note_high_water))
 
     def parse(self, lock_path: str | None = None) -> Graph:
-        """Scan the whole tree and commit its graph. Nodes of files that are gone are gone."""
+        """Scan the whole tree and commit its graph. Nodes of files that are gone are gone; a file that cannot be
+        parsed whole keeps the nodes it had."""
         before = self.store.before()
         files = tree.scan(self.spark, self.root, self.rules, self.language)
         lock = lockfile.read(self.spark, lock_path, FORMAT_VERSION) if lock_path else None
-        return self.store.commit(self._built(self._structs(files, files.select("path")), before, lock))
+        return self.store.commit(self._built(self._held(self._structs(files, files.select("path")), before), before, lock, self.client))
 
     def apply(self, changes: DataFrame) -> Graph:
         """Bring the graph up to date with ``changes`` (path, change: added, modified or deleted).
 
         Only changed files are read and extracted; rows of others come from the version before. The
-        result is that of a full parse. A changed file that cannot be read any more counts as deleted.
+        result is that of a full parse. A file that is gone counts as deleted; one that cannot be parsed whole
+        keeps its nodes with their notes and descriptions. With a client, a first version is committed in which
+        the descriptions of changed files are marked as stale, before they are asked for anew.
         """
         before = self.store.load()
         changes = written(changes.select("path", "change").distinct(), "changes")
@@ -127,10 +141,15 @@ class Project:
         parts = old.select("path").distinct().withColumn("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.concat(F.array_join(F.slice(F.split(F.col("path"), "/"), 1, i), "/"), F.lit("/")))))
         below = below.unionByName(parts.join(folders, "folder", "left_semi").select("path")).distinct()
         kept = written(old.join(below, "path", "left_anti"), "kept")
-        fresh = self._structs(files, files.select("path"))
+        fresh = self._held(self._structs(files, files.select("path")), before)
         paths = kept.select("path").distinct().unionByName(files.select("path")).distinct()
-        structs = kept.select(*fresh.columns).unionByName(fresh.where("type <> 'directory'")).unionByName(self._structs(files.limit(0), paths))
-        return self.store.commit(self._built(structs, before, None))
+        folders = self._structs(files.limit(0), paths).select(*fresh.columns)
+        structs = written(reconcile.parsed_wins(fresh.where("type <> 'directory'"), kept).unionByName(folders), "changed")
+        if self.client is not None:
+            first = self._built(structs, before, None)
+            first.structs = reconcile.mark_stale(first.structs, gone.withColumnRenamed("p", "path"))
+            before.version = self.store.commit(first).version
+        return self.store.commit(self._built(structs, before, None, self.client))
 
     # -- asking -----------------------------------------------------------------------------------
 
@@ -144,8 +163,9 @@ class Project:
         return structs.select("id", "uid", "type", "parent_uid").join(parents, "parent_uid", "left").drop("parent_uid")
 
     def status(self) -> dict[str, int]:
+        """Counts, the version, and the bytes and time (milliseconds) of what the current version's tables hold."""
         g = self.store.load()
-        return {r["type"]: r["count"] for r in g.structs.groupBy("type").count().collect()} | {"edges": g.edges.count(), "notes": g.notes.count(), "version": g.version}
+        return {r.type: r.n for r in graph.status_counts(g.structs, g.edges, g.notes).collect()} | {"version": g.version} | self.store.size(g)
 
     def inspect(self, refs: str | list[str], body: bool = False, max_lines: int = 500) -> str:
         """What is known of each node as text; an unknown one gives a line that says so."""
@@ -193,9 +213,15 @@ class Project:
         g = self.store.load()
         query = self.embed(self.spark.createDataFrame([("q", text)], "id string, text string")).first()
         named = g.structs.select("id", "uid", "type")
-        rows = g.vectors.where("vector is not null").join(named.where(F.col("type").ilike(f"%{kind}%")) if kind else named, "id")
+        rows = g.vectors.where("vector is not null").join(search.of_kind(named, kind) if kind else named, "id")
         return search.nearest(rows, list(query.vector), k).select("id", "uid", "type", "distance")
 
+    def last_updated(self) -> DataFrame:
+        """(id, at): when each node, or a note on it, was last changed."""
+        g = self.store.load()
+        noted = g.notes.groupBy(F.col("struct_id").alias("id")).agg(F.max(F.coalesce("date_last_updated", "date_added")).cast("timestamp").alias("noted"))
+        return g.structs.join(noted, "id", "left").select("id", F.greatest("date_last_updated", "noted").alias("at"))
+
     def subtree(self, path: str) -> DataFrame:
         return self.store.load().structs.where(ident.in_subtree(F.col("path"), path))
 
@@ -213,8 +239,7 @@ class Project:
         number = g.note_high_water + 1
         new = self.spark.createDataFrame([(number, node.id, content, author, now, now)], g.notes.schema)
         g.notes, g.note_high_water = notes.add(g.notes, new), number
-        g.structs = g.structs.withColumn("date_last_updated", F.when(F.col("id") == node.id, F.current_timestamp()).otherwise(F.col("date_last_updated")))
-        self.store.commit(g)
+        self.store.commit(g, ("notes",))
         return number
 
     def note_edit(self, note_id: int, content: str, author: str = "agent") -> bool:
@@ -223,7 +248,7 @@ class Project:
             return False
         edit = self.spark.createDataFrame([(note_id, content, author, datetime.now().isoformat(timespec="microseconds"))], "note_id long, content string, author string, date_last_updated string")
         g.notes = notes.edit(g.notes, edit)
-        self.store.commit(g)
+        self.store.commit(g, ("notes",))
         return True
 
     def note_remove(self, note_id: int) -> bool:
@@ -231,7 +256,7 @@ class Project:
         if g.notes.where(F.col("note_id") == note_id).isEmpty():
             return False
         g.notes = notes.remove(g.notes, self.spark.createDataFrame([(note_id,)], "note_id long"))
-        self.store.commit(g)
+        self.store.commit(g, ("notes",))
         return True
 
     def export(self, path: Path, with_vectors: bool = False) -> dict[str, int | bool]:

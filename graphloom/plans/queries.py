@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import ident
+from graphloom.functions.scratch import written
 from graphloom.operators import describe, extract, graph, notes, reconcile, search
 from graphloom.operators.resolve import Resolver
-from graphloom.plans.sample import LANGUAGE, SAMPLE
+from graphloom.plans import sample
 from graphloom.sources.tree import directories
 from graphloom.streaming.upsert import upserted
 
@@ -125,29 +126,27 @@ def subtree_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS type, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"))
+    return graph.type_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("type")))
 
 
 @query(f"WITH RECURSIVE {TREE_SQL}, {EDGES_SQL} SELECT type, count(*)::BIGINT AS n FROM tree GROUP BY type UNION ALL SELECT 'edges', count(*)::BIGINT FROM dep UNION ALL SELECT 'notes', count(*)::BIGINT FROM conversations")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by type, and how many edges and notes there are."""
-    count = lambda df, name: df.agg(F.lit(name).alias("type"), F.count("*").alias("n"))
-    kinds = tree(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
-    return kinds.unionByName(count(edges(spark, sf_dir), "edges")).unionByName(count(table(spark, sf_dir, "conversations"), "notes"))
+    return graph.status_counts(tree(spark, sf_dir), edges(spark, sf_dir), table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT page_id, url, starts_with(url, 'https://') AS secure FROM pages WHERE starts_with(url, 'https://m.') OR url = 'https://m'")
+@query("SELECT page_id, url, starts_with(url, 'https://') AS secure FROM pages WHERE starts_with(url, 'https://blog.tionsh.example.net/') OR url = 'https://blog.tionsh.example.net'")
 def subtree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths below a prefix, compared as it stands: the filter reaches the scan."""
+    """Paths at or below a prefix, compared as it stands: the filter reaches the scan."""
     rows = table(spark, sf_dir, "pages")
-    return rows.where(F.col("url").startswith("https://m.") | (F.col("url") == "https://m")).select("page_id", "url", F.col("url").startswith("https://").alias("secure"))
+    return rows.where(ident.in_subtree(F.col("url"), "https://blog.tionsh.example.net")).select("page_id", "url", F.col("url").startswith("https://").alias("secure"))
 
 
 @query("""
 WITH c AS (SELECT page_id, regexp_replace(url, '^.*?//[^/]*/', '') AS candidate FROM pages)
 SELECT c.page_id, p.page_id AS target_id FROM c JOIN pages p ON p.url = candidate OR ends_with(p.url, '/' || candidate)""")
 def suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import candidates (a page's path) against all uids that are it or end with it, bucketed by last segment."""
+    """Import candidates (a page's path) against all uids that are it or end with it."""
     pages = table(spark, sf_dir, "pages")
     wanted = pages.select("page_id", F.regexp_replace("url", "^.*?//[^/]*/", "").alias("candidate"))
     found = graph.suffix_matches(wanted, pages.select(F.col("url").alias("uid")))
@@ -173,9 +172,10 @@ def diff_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, 'F-' || substr(md5(url), 1, 10) AS id, md5(html) AS diff_hash, 1::INTEGER AS start_line, (len(string_split(html, chr(10))) - CASE WHEN ends_with(html, chr(10)) THEN 1 ELSE 0 END)::INTEGER AS end_line, length(html)::INTEGER AS length FROM pages")
 def html_file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file node of each HTML page: identity, hash and line bounds."""
-    text = F.col("html")
-    end = F.size(F.split(text, "\n")) - F.when(text.endswith("\n"), 1).otherwise(0)
-    return table(spark, sf_dir, "pages").select("page_id", ident.node_id(F.lit("file"), F.col("url")).alias("id"), F.md5(text).alias("diff_hash"), F.lit(1).alias("start_line"), end.alias("end_line"), F.length(text).alias("length"))
+    pages = table(spark, sf_dir, "pages")
+    nodes = extract.html_nodes(pages.select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content")))
+    nodes = nodes.select(F.col("uid").alias("url"), ident.node_id(F.col("type"), F.col("uid")).alias("id"), "diff_hash", "start_line", "end_line", F.length("body").alias("length")).distinct()
+    return pages.select("page_id", "url", F.md5("html").alias("diff_hash")).join(nodes, ["url", "diff_hash"]).drop("url")
 
 
 @query(f"""
@@ -276,7 +276,9 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, min(ts) AS date_added, max(ts) AS date_last_updated, count(*)::BIGINT AS versions FROM events GROUP BY 1")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("date_added"), F.max("ts").alias("date_last_updated"), F.count("*").alias("versions"))
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("date_added"))
+    now = events.groupBy("user_id").agg(F.max("date_added").alias("date_added"), F.count("*").alias("versions")).withColumn("date_last_updated", F.col("date_added"))
+    return reconcile.first_seen(now, events, "user_id")
 
 
 @query("SELECT doc_id, CASE WHEN source <> '' THEN '[STALE] ' || source ELSE source END AS description, CASE WHEN source <> '' THEN source ELSE '' END AS plain FROM documents")
@@ -358,7 +360,7 @@ def type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose type holds a word in either case, with the id their key resolves to."""
     events = table(spark, sf_dir, "events")
     first = events.groupBy("user_id").agg(F.min("event_id").alias("first_id"))
-    return events.where(F.col("event_type").ilike("%CLICK%")).join(first, "user_id").select("event_id", "first_id")
+    return search.of_kind(events, "CLICK", "event_type").join(first, "user_id").select("event_id", "first_id")
 
 
 @query("""
@@ -373,24 +375,87 @@ def upsert_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.upsert(stored, parsed)
 
 
-def _sample(spark: SparkSession) -> DataFrame:
-    rows = [(path, bytearray(text.encode()), LANGUAGE[path.rsplit(".", 1)[-1]]) for path, text in SAMPLE.items()]
-    return spark.createDataFrame(rows, "path string, content binary, lang string")
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the source tree over the tables, directories included, as a written table."""
+    files = sample.files(spark, sf_dir)
+    nodes = extract.extract(files).drop("parsed").unionByName(directories(files.select("path")), allowMissingColumns=True)
+    return written(nodes.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("inherits", "imports")}), "sources")
 
 
-@query(None)
+@query(f"""
+WITH {sample.NODES_SQL}
+SELECT CASE type WHEN 'file' THEN 'F' WHEN 'class' THEN 'C' WHEN 'method' THEN 'M' ELSE 'V' END || '-' || substr(md5(uid), 1, 10) AS id, uid, type, parent_uid, signature, coalesce(arity, -1)::INTEGER AS arity, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, diff_hash FROM nodes""")
 def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of a small tree of three languages (not the tables)."""
-    return extract.extract(_sample(spark)).select("id", "uid", "type", "parent_uid", "signature", "arity", "start_line", "end_line", "diff_hash")
+    """Nodes of a source tree with files in two languages for every region, nation, supplier and customer."""
+    return extract.extract(sample.files(spark, sf_dir)).select("id", "uid", "type", "parent_uid", "signature", F.coalesce("arity", F.lit(-1)).alias("arity"), "start_line", "end_line", "diff_hash")
+
 
+_FOUND = f"WITH {sample.CALLS_SQL}"
 
-@query(None)
+
+@query(f"""
+WITH RECURSIVE {sample.NODES_SQL}, {sample.FOLDERS_SQL}, {sample.CALLS_SQL},
+tree(id, parent_id) AS (SELECT uid, parent_uid FROM nodes UNION SELECT uid, parent_uid FROM folders),
+up(source_id, target_id, edge_type) AS (
+  SELECT * FROM found UNION
+  SELECT s.parent_id, t.parent_id, edge_type FROM up JOIN tree s ON s.id = source_id JOIN tree t ON t.id = target_id
+  WHERE s.parent_id IS NOT NULL AND t.parent_id IS NOT NULL AND s.parent_id <> t.parent_id)
+SELECT DISTINCT * FROM up UNION ALL SELECT id, parent_id, 'is_child_of' FROM tree WHERE parent_id IS NOT NULL""")
 def source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved and lifted edges of that tree."""
-    files = _sample(spark)
-    nodes = extract.extract(files).unionByName(directories(files.select("path")), allowMissingColumns=True)
-    nodes = nodes.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("inherits", "imports")})
-    return Resolver(nodes).edges()
+    """All edges of that tree: resolved by every rule, lifted, and the tree itself."""
+    return Resolver(_sources(spark, sf_dir)).edges()
+
+
+@query(sample.IMPORTS_SQL)
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file's imports name: by uid, by path suffix, by a unique name, or everything in a file."""
+    return Resolver(_sources(spark, sf_dir)).imports.select("file_uid", "candidate", "target", "is_wildcard").distinct()
+
+
+@query(f"{_FOUND} SELECT DISTINCT source_id AS uid, 0::INTEGER AS ord, target_id AS base FROM found WHERE NOT contains(source_id, '(') AND NOT contains(target_id, '(')")
+def resolved_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes that classes inherit from."""
+    return Resolver(_sources(spark, sf_dir)).bases()
+
+
+@query(rf"""
+{_FOUND}, {sample.NODES_SQL}, m AS (SELECT uid AS method, parent_uid, regexp_extract(uid, '([^.]*)\([^()]*\)$', 1) AS name FROM nodes WHERE type = 'method' AND contains(parent_uid, '#'))
+SELECT parent_uid AS scope, regexp_replace(name, '^.*#', '') AS name, method, '' AS path FROM m
+UNION ALL SELECT DISTINCT source_id, name, method, '0' FROM found JOIN m ON parent_uid = target_id WHERE NOT contains(source_id, '(')
+UNION ALL SELECT parent_uid, regexp_extract(uid, '#(.*)\(', 1), uid, '' FROM nodes WHERE type = 'method' AND NOT contains(parent_uid, '#')""")
+def inherited_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The methods that each class or file has, with the way through the bases by which it has them."""
+    resolver = Resolver(_sources(spark, sf_dir))
+    return resolver.inherited(resolver.bases()).select("scope", "name", "method", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+@query(f"{_FOUND} SELECT source_id, target_id, edge_type = 'depends_on_fuzzy' AS fuzzy FROM found WHERE contains(source_id, '(')")
+def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every call means, by the cascade of rules for calls."""
+    resolver = Resolver(_sources(spark, sf_dir))
+    return resolver.calls(resolver.bases()).select(F.col("s").alias("source_id"), F.col("t").alias("target_id"), "fuzzy")
+
+
+@query(f"WITH RECURSIVE {TREE_SQL}, {EDGES_SQL} SELECT source_id, target_id FROM dep WHERE source_id NOT IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def replace_outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in which those from orders under way are replaced by one to the customer."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("target_id"))
+    return reconcile.replace_outbound(edges(spark, sf_dir), orders, orders.withColumnRenamed("id", "source_id").select("source_id", "target_id"))
+
+
+@query("SELECT vec_id AS id, CASE WHEN label = 2 THEN 'new' ELSE 'old' END AS side, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
+def replace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors in which those of one label are replaced."""
+    rows = _vectors(spark, sf_dir).select("id", "vector", "label")
+    side = lambda df, name: df.select("id", F.lit(name).alias("side"), F.round(F.get("vector", 0).cast("double"), 5).alias("first"))
+    return reconcile.replace_vectors(side(rows, "old"), side(rows.where("label = 2"), "new"), full=False)
+
+
+@query("SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AND source <> '' THEN '[STALE] ' || source ELSE source END AS description FROM documents d")
+def stale_of_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of changed rows marked, those of others as they were."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("description"))
+    return reconcile.mark_stale(docs, table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
 
 
 @query("SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -1,15 +1,17 @@
-"""Graph versions as Parquet tables. A commit writes a new version and then one manifest row, so readers
-see a version whole or not at all, and plans that read the one before keep their files."""
+"""Graph versions as Parquet tables. A commit writes the tables that changed and then one manifest row that
+tells where each table lies, so readers see a version whole or not at all, a note costs its own table
+only, and plans that read the version before keep their files."""
 
 from __future__ import annotations
 
 import shutil
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions import scratch
 from graphloom.operators.extract import NODE
 
 FORMAT_VERSION = 1
@@ -22,7 +24,8 @@ SCHEMAS = {
     "vectors": "id string, vector array<float>",
     "notes": "note_id long, struct_id string, content string, author string, date_added string, date_last_updated string",
 }
-_MANIFEST = "version long, format_version int, note_high_water long"
+#: A row a version; the version in which each table was written is null where it is the row's own.
+_MANIFEST = "version long, format_version int, note_high_water long, " + ", ".join(f"{n} long" for n in SCHEMAS)
 
 
 class StoreError(Exception):
@@ -37,6 +40,8 @@ class Graph:
     notes: DataFrame
     version: int = 0
     note_high_water: int = 0
+    #: The version in which each table was written.
+    written_in: dict[str, int] = field(default_factory=dict)
 
 
 class Store:
@@ -64,8 +69,9 @@ class Store:
             raise StoreError(f"no graph at {self.path}; parse the project first")
         if last.format_version > FORMAT_VERSION or any(last.format_version < b <= FORMAT_VERSION for b in BREAKING):
             raise StoreError(f"the graph at {self.path} has format {last.format_version}, this code reads {FORMAT_VERSION}")
-        read = lambda n: self.spark.read.schema(SCHEMAS[n]).parquet(f"{self.path}/{last.version}/{n}")
-        return Graph(*map(read, SCHEMAS), last.version, last.note_high_water)
+        at = {n: last.version if last[n] is None else last[n] for n in SCHEMAS}
+        read = lambda n: self.spark.read.schema(SCHEMAS[n]).parquet(f"{self.path}/{at[n]}/{n}")
+        return Graph(*map(read, SCHEMAS), last.version, last.note_high_water, at)
 
     def before(self) -> Graph:
         """The current version to build upon; an empty one where there is none or it cannot be read."""
@@ -76,6 +82,11 @@ class Store:
             graph.version = last.version if last else 0
             return graph
 
+    def size(self, graph: Graph) -> dict[str, int]:
+        """bytes of the files of ``graph`` and when (milliseconds) the last of them was written."""
+        files = [f for n in SCHEMAS for f in scratch.listed(self.spark, f"{self.path}/{graph.written_in[n]}/{n}")]
+        return {"bytes": sum(n for n, _ in files), "updated": max((t for _, t in files), default=0)}
+
     def clean(self) -> bool:
         """Delete a store on a local file system."""
         path = Path(self.path.removeprefix("file://"))
@@ -84,14 +95,32 @@ class Store:
         shutil.rmtree(path)
         return True
 
-    def commit(self, graph: Graph) -> Graph:
-        """Write ``graph`` as the version after its own. Nodes are sorted by path, so path filters skip row groups."""
-        version = graph.version + 1
-        for name, schema in SCHEMAS.items():
-            columns = [f.name for f in self.spark.createDataFrame([], schema).schema]
+    def commit(self, graph: Graph, changed: tuple[str, ...] = tuple(SCHEMAS)) -> Graph:
+        """Write the ``changed`` tables of ``graph`` as the version after its own; the others stay where they are.
+
+        Nodes are sorted by path, so path filters skip row groups. Where another writer has committed
+        meanwhile, nothing is written.
+        """
+        last, version = self._manifest(), graph.version + 1
+        if last is not None and last.version != graph.version:
+            raise StoreError(f"the graph at {self.path} went on to version {last.version} while this change was made from version {graph.version}")
+        at = dict(graph.written_in) | dict.fromkeys(changed, version)
+        for name in [n for n in SCHEMAS if at.setdefault(n, version) == version]:
+            columns = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
             df = getattr(graph, name).select(*columns)
             df = df.repartitionByRange("path", "uid").sortWithinPartitions("path", "uid") if name == "structs" else df
             df.write.mode("overwrite").parquet(f"{self.path}/{version}/{name}")
-        row = [(version, FORMAT_VERSION, graph.note_high_water)]
+        row = [(version, FORMAT_VERSION, graph.note_high_water, *(at[n] for n in SCHEMAS))]
         self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
         return self.load()
+
+    def expire(self, keep: int = 2) -> list[int]:
+        """Delete what only versions before the last ``keep`` read; the versions of which something went."""
+        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest").orderBy(F.desc("version")).collect()  # a row a version
+        used = {(n, r.version if r[n] is None else r[n]) for r in rows[:keep] for n in SCHEMAS}
+        gone = []
+        for r in rows[keep:]:
+            for n in SCHEMAS:
+                if (n, r.version) not in used and scratch.delete(self.spark, f"{self.path}/{r.version}/{n}"):
+                    gone.append(r.version)
+        return sorted(set(gone))

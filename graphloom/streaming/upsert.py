@@ -8,30 +8,30 @@ from graphloom.functions.scratch import scratch_path
 from graphloom.operators.reconcile import latest
 
 
-def upserted(spark: SparkSession, path: str, key: str, order: list[str], rest: list[str], files: int = 1) -> DataFrame:
+def upserted(spark: SparkSession, path: str, key: str, order: list[str], rest: list[str], files: int = 1, base: str | None = None) -> DataFrame:
     """The latest row of each key of a Parquet table read as a stream, ``files`` files a batch.
 
     Each batch is reduced to its latest rows before it meets the table, so the merge costs a row a key.
-    Versions are named by batch: a batch that is applied again after a failure writes the same one.
+    ``base`` holds the versions and the checkpoint: a call with the folder of an earlier one goes on
+    where that stopped, and a batch that is applied again after a failure writes its version again.
     """
-    folder, name = path.rsplit("/", 1)
     columns = [key, *order, *rest]
     schema = spark.read.parquet(path).select(*columns).schema
-    base = scratch_path(spark, "upsert")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    # a table is a file of that name or a folder of files
-    stream = reader.parquet(f"{folder}/{name}*").select(*columns)
-    done: list[str] = []
+    base = base or scratch_path(spark, "upsert")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).select(*columns)
 
     def merge(batch: DataFrame, number: int) -> None:
         table = latest(batch, key, *order)
         if number:
-            before = spark.read.schema(table.schema).parquet(f"{base}/{number - 1}")
+            before = spark.read.schema(table.schema).parquet(f"{base}/version={number - 1}")
             table = latest(before.unionByName(table), key, *order)
-        table.write.mode("overwrite").parquet(f"{base}/{number}")
-        done.append(f"{base}/{number}")
+        table.write.mode("overwrite").parquet(f"{base}/version={number}")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/checkpoint/commits")
+    store = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName()) for f in store.listStatus(commits) if f.getPath().getName().isdigit()] if store.exists(commits) else []
     if not done:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(done[-1]).select(*columns)
+    return spark.read.parquet(f"{base}/version={max(done)}").select(*columns)

@@ -137,3 +137,33 @@ def test_tree_walks(spark):
     shown = graph.skeleton(nodes, F.col("id") == "r", 5).orderBy("sort_path").collect()
     assert [(r.id, r.depth) for r in shown] == [("r", 0), ("a", 1), ("b", 2), ("d", 2)]
     assert [r.id for r in graph.skeleton(nodes, F.col("id") == "r", 5, files_only=True).orderBy("sort_path").collect()] == ["r", "a"]
+
+
+def test_suffixes_of_many_files_of_one_name(spark):
+    """20,000 ``__init__.py``: only those that the whole candidate names meet it."""
+    nodes = spark.range(20_000).select(F.format_string("src/p%d/q/__init__.py", "id").alias("uid"))
+    wanted = spark.range(0, 20_000, 40).select(F.format_string("p%d/q/__init__.py", "id").alias("candidate")).unionByName(spark.createDataFrame([("r/q/__init__.py",), ("q",), ("src/p7/q/__init__.py",)], "candidate string"))
+    found = graph.suffix_matches(wanted, nodes)
+    got = {(r.candidate, r.uid) for r in found.collect()}
+    assert got == {(f"p{i}/q/__init__.py", f"src/p{i}/q/__init__.py") for i in range(0, 20_000, 40)} | {("src/p7/q/__init__.py",) * 2}
+    assert "EqualTo" not in found._jdf.queryExecution().toString() or "endswith" not in found._jdf.queryExecution().toString()
+
+
+def test_many_queries_in_one_plan(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERIES", 600)
+    monkeypatch.setattr(search, "ROWS", 900)
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(5200, 3)).round(1)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "id long, vector array<double>")
+    found = search.knn_join(rows.where("id < 5000"), rows, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("FlatMapCoGroups") <= 8
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r.nth] = r.id
+    assert len(got) == 5000
+    for i in range(0, 5000, 97):
+        distance = np.sqrt(((data - data[i]) ** 2).sum(axis=1))
+        order = [int(k) for k in np.lexsort((np.arange(5200), distance)) if k != i][:3]
+        assert [got[i][n] for n in (1, 2, 3)] == order
+    assert search.knn_join(rows.limit(0), rows).count() == 0 and search.knn_join(rows, rows.limit(0)).count() == 0

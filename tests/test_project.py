@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import ident
-from graphloom.operators import extract
-from graphloom.operators.java import erased, import_candidate, java_nodes
+from graphloom.operators import describe, extract
+from graphloom.operators.java import _calls, erased, import_candidate, java_nodes
 from graphloom.plans.project import Project, clipped, parse_refs
 from graphloom.plans.store import StoreError
 from graphloom.sources import ignore, tree
@@ -192,9 +192,30 @@ def test_java():
     assert nodes[file]["imports"] == ["java/util/List.java#List", "com/x/Base.java#Base"]
     assert {"name": "Base", "arity": 1, "receiver": None, "is_creation": True} in nodes[f"{file}#A.run(int, List)"]["calls"]
     assert erased("java.util.Map<String, List<Integer>>") == "Map" and erased("int ...") == "int[]"
+    assert erased("java.util.Map.Entry<K, V> [] []") == "Map.Entry[][]" and erased("some.odd.type") == "type" and erased("byte[]...") == "byte[][]"
     assert import_candidate("a.b", True) == "a/b.*"
 
 
+def calls_in(body):
+    return [(c["name"], c["arity"], c["receiver"], c["is_creation"]) for c in _calls(body)]
+
+
+def test_java_calls():
+    assert calls_in("{ this.run(a).go(b, c); }") == [("run", 1, "this", False), ("go", 2, "this.run(a)", False)]
+    assert calls_in("{ new A.B<X, Y>(1, f(2, 3)).z(); }") == [("A.B", 2, None, True), ("f", 2, None, False), ("z", 0, "new A.B      (1, f(2, 3))", False)]
+    assert calls_in("{ if (a < b) { x[1] . get(a < b, c > d); } return (q).w(); super.end(); }") == [("get", 2, "x[1]", False), ("w", 0, "(q)", False), ("end", 0, "super", False)]
+    assert calls_in("{ go(new int[]{1, 2}, m -> { h(m, 1); }); }") == [("go", 2, None, False), ("h", 2, None, False)]
+    assert calls_in("{ broken(a, (b; }")[0][:2] == ("broken", 2)
+
+
+def test_java_calls_are_linear():
+    import time
+
+    began = time.perf_counter()
+    assert len(_calls("{ x" + ".a()" * 20_000 + "; }")) == 20_000 and len(_calls("{ " + "f(" * 5_000 + ")" * 5_000 + " }")) == 5_000
+    assert not _calls("a." * 30_000) and time.perf_counter() - began < 20
+
+
 def test_java_resolution(spark, tmp_path):
     write(tmp_path, JAVA)
     g = Project(spark, f"file://{tmp_path}", f"file://{tmp_path}/g", rules=[], embed=None).parse()
@@ -229,6 +250,125 @@ def test_python_resolution_rules(spark, tmp_path):
     assert {r.uid for r in g.structs.where("path = 'broken.py'").collect()} == {"broken.py"}
 
 
+def test_no_file_fails_the_job(spark):
+    deep = b"x = " + b"(" * 5000 + b")" * 5000
+    files = {
+        "cr.py": b"class A:\r    def f(self):\r        return 1\r",
+        "crlf.py": b"def g(a):\r\n    return a\r\n",
+        "bom.py": b"\xef\xbb\xbfdef h():\n    pass\n",
+        "latin.py": b"# -*- coding: latin-1 -*-\ndef k(x='\xe9', y=2):\n    pass\n\n\nz\xe9 = 1\n",
+        "deep.py": deep,
+        "null.py": b"a = 1\x00\n",
+        "coding.py": b"# coding: nonsense\n",
+        "half.py": b"import os\n\n\nclass B:\n    def ok(self):\n        return 1\n\n    def bad(self:\n        return 2\n\n    @staticmethod\n    def last():\n        pass\n\n\ndef good(a, b):\n    return a\n\n\nx = = 1\n",
+        "empty.py": b"",
+        "odd.java": b"class { void (((",
+    }
+    rows = [(p, bytearray(c), "java" if p.endswith("java") else "python") for p, c in files.items()]
+    got = {r.uid: r for r in extract.extract(spark.createDataFrame(rows, "path string, content binary, lang string")).collect()}
+    assert set(files) <= set(got)
+    assert got["cr.py#A.f(...)"].body == "def f(self):\r        return 1" and got["crlf.py#g(...)"].body == "def g(a):\r\n    return a"
+    assert got["bom.py#h(...)"].start_line == 1 and got["latin.py#k(...)"].signature == "def k(x='é', y=2)" and "latin.py#zé" in got
+    assert {u for u in got if u.startswith("half.py")} == {"half.py", "half.py#B", "half.py#B.ok(...)", "half.py#B.last(...)", "half.py#good(...)"}
+    assert got["half.py#good(...)"].start_line == 16 and got["half.py#B.last(...)"].start_line == 12 and got["half.py#B"].end_line == 13
+    assert {u: r.parsed for u, r in got.items() if u in ("half.py", "deep.py", "null.py", "coding.py", "cr.py", "empty.py")} == {"half.py": False, "deep.py": False, "null.py": False, "coding.py": False, "cr.py": True, "empty.py": True}
+
+
+def test_a_broken_save_loses_nothing(spark, tmp_path):
+    root = tmp_path / "p"
+    write(root, {"a.py": "class A:\n    def f(self):\n        return 1\n", "b.py": "from a import A\n\n\ndef g(x):\n    return A()\n"})
+    project = Project(spark, f"file://{root}", f"file://{tmp_path}/g", rules=[], embed=None)
+    g = project.parse()
+    g.structs = g.structs.withColumn("description", F.when(F.col("name") == "f", "gives one").otherwise(""))
+    project.store.commit(g, ("structs",))
+    note = project.note_add("a.py#A.f(...)", "keep me")
+    for text in ("class A:\n    def f(self:\n        return 1\n", "class A(\n", "\0"):
+        write(root, {"a.py": text})
+        for got in (project.apply(spark.createDataFrame([("a.py", "modified")], "path string, change string")), project.parse()):
+            assert {r.uid: r.description for r in got.structs.where("path = 'a.py'").collect()} == {"a.py": "", "a.py#A": "", "a.py#A.f(...)": "gives one"}
+            assert [r.note_id for r in got.notes.collect()] == [note] and ("b.py#g(...)", "a.py#A") in named(got)
+    write(root, {"a.py": "class A:\n    pass\n"})
+    got = project.apply(spark.createDataFrame([("a.py", "modified")], "path string, change string"))
+    assert {r.uid for r in got.structs.where("path = 'a.py'").collect()} == {"a.py", "a.py#A"} and got.notes.isEmpty()
+
+
+def test_changed_files_are_stale_until_described(spark, tmp_path):
+    import pandas as pd
+
+    def client(texts):
+        for part in texts:
+            yield pd.Series([f"about {t.split(chr(10))[0]}" for t in part])
+
+    root = tmp_path / "p"
+    write(root, {"a.py": "class A:\n    def f(self):\n        return 1\n\n    def g(self):\n        return 2\n"})
+    project = Project(spark, f"file://{root}", f"file://{tmp_path}/g", rules=[], embed=None, client=client)
+    g = project.parse()
+    by = lambda g: {r.name: r.description for r in g.structs.where("type in ('class', 'method', 'file')").collect()}
+    assert by(g)["f"] == "about a.py#A.f(...): def f(self):" and by(g)["A"] == "about class A" and by(g)["a.py"] == by(g)["A"]
+    write(root, {"a.py": "class A:\n    def f(self):\n        return 1\n\n    def g(self):\n        return 3\n"})
+    after = project.apply(spark.createDataFrame([("a.py", "modified")], "path string, change string"))
+    assert after.version == g.version + 2 and by(after) == by(g)
+    first = spark.read.parquet(f"file://{tmp_path}/g/{g.version + 1}/structs")
+    assert {r.name: r.description for r in first.where("type = 'method'").collect()} == {"f": f"[STALE] {by(g)['f']}", "g": ""}
+
+
+def test_classes_are_described_after_their_children(spark):
+    import pandas as pd
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def client(texts):
+        for part in texts:
+            seen.add(len(part))
+            yield pd.Series([f"<{t}>" for t in part])
+
+    files = [("a.py", bytearray(b"class A:\n    class B:\n        def f(self):\n            pass\n\n    def g(self):\n        pass\n"), "python")]
+    nodes = extract.extract(spark.createDataFrame(files, "path string, content binary, lang string")).withColumn("description", F.lit(""))
+    lock = spark.createDataFrame([], "uid string, diff_hash string, description string")
+    got = {r.name: r.description for r in describe.described(nodes, lock, client).collect()}
+    assert got["B"].startswith("<class B\nM-") and got["f"] in got["B"] and got["B"] in got["A"] and got["g"] in got["A"] and got["a.py"] == got["A"]
+    assert seen.value == 4
+
+
+def test_clients():
+    import pandas as pd
+
+    tries = []
+
+    def call(text):
+        tries.append(text)
+        if text == "bad":
+            raise ValueError(text)
+        if tries.count(text) < 3:
+            raise TimeoutError
+        return text.upper()
+
+    client = describe.retrying(call, attempts=3, backoff=0.0)
+    assert [x.tolist() for x in client(iter([pd.Series(["a", "bad", "b"])]))] == [["A", None, "B"]] and tries.count("bad") == 1
+    assert describe.retrying(call, attempts=1, backoff=0.0)(iter([pd.Series(["c"])])).__next__().tolist() == [None]
+    known = {"x": client}
+    assert describe.client_for({}, known) is None and describe.client_for({"llm": {"strategy": "x"}}, known) is client
+    assert describe.client_for({"llm": {"strategy": "x"}}, known, "none") is None
+    with pytest.raises(describe.ClientError):
+        describe.client_for({"llm": {"strategy": "y"}}, known)
+
+
+def test_notes_cost_their_own_table(spark, tmp_path):
+    write(tmp_path / "p", {"a.py": "x = 1\n"})
+    project = Project(spark, f"file://{tmp_path}/p", f"file://{tmp_path}/g", rules=[], embed=None)
+    first = project.parse()
+    project.note_add("a.py", "one")
+    g = project.store.load()
+    assert g.written_in == {"structs": 1, "edges": 1, "vectors": 1, "notes": 2} and not (tmp_path / "g/2/structs").exists()
+    assert project.status()["bytes"] > 0 and {r.id: r["at"] for r in project.last_updated().collect()}
+    with pytest.raises(StoreError):
+        project.store.commit(first)  # another writer was faster
+    project.parse()
+    project.note_add("a.py", "two")
+    assert project.store.expire(keep=1) == [1, 2, 3] and {r.content for r in project.store.load().notes.collect()} == {"one", "two"}
+    assert project.store.expire(keep=1) == []
+
+
 def test_python_imports():
     nodes = list(extract.python_nodes("src/pkg/cmd.py", b"import os.path\nfrom pkg.a import A as B\nfrom math import *\n\n\ndef f(a, *b, c=1):\n    B(a)\n"))
     assert nodes[0]["imports"][:2] == ["os/path.py", "os/path/__init__.py"]
