@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, language_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, substring_dedup
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands beside the package and imports it
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -17,7 +25,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
