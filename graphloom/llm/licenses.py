@@ -11,7 +11,7 @@ score is 0 with nothing found, 0.5 with base phrases only, and 0.75 plus a quart
 document's words that accepted regions cover once a template is accepted.
 
 Each document is read whole, by itself: no shuffle. Templates are only tried on texts that hold their
-rarest mandatory word, from places where one of their first words stands.
+longest mandatory word (a template of optional text alone: on all), from places where one of their first words stands.
 
 Defined results: null and empty texts have no words, no labels and score 0; repeated rows give
 repeated results; further columns are ignored; an empty table gives an empty result.
@@ -52,15 +52,14 @@ TEMPLATES = {
     "cc-by-4.0": ["licensed under <<beginOptional>>a creative commons<<endOptional>> <<beginOptional>>the<<endOptional>> cc by 4 0"],
     "cc-by-nc-4.0": ["licensed under <<beginOptional>>a creative commons<<endOptional>> <<beginOptional>>the<<endOptional>> cc by nc 4 0"],
     "isc": [
-        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies <<beginOptional>>the software is provided as is and <<var;match=.*;words=1-20>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;match=.*;words=1-20>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software<<endOptional>>"
+        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;match=.*;words=1-20>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;match=.*;words=1-20>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
     ],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;match=.*;words=1-20>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>> <<beginOptional>>this software is provided by <<var;match=.*;words=1-20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;match=.*;words=1-20>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage<<endOptional>>"
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;match=.*;words=1-20>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>> this software is provided by <<var;match=.*;words=1-20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;match=.*;words=1-20>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
     ],
 }
 
 
-
 def _add(label: str, *templates: str) -> None:
     TEMPLATES[label] = TEMPLATES.get(label, []) + list(templates)
 
@@ -179,7 +178,7 @@ def compiled(label: str, template: str) -> Automaton:
     literal(template[pos:])
     last = place(None)
     link(last)
-    return Automaton(label, tuple((t, tuple(f)) for t, f in zip(tests, follow)), tuple(begin), max(mandatory, key=len))
+    return Automaton(label, tuple((t, tuple(f)) for t, f in zip(tests, follow)), tuple(begin), max(mandatory, key=len, default=b""))
 
 
 @lru_cache(maxsize=4)
