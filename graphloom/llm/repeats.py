@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +68,15 @@ class Repeats:
 
         places = seeded.mapInArrow(self._extended(), f"{place}, h long, f1 long, f2 long, unit boolean")
         classes = places.groupBy("h", "f1", "f2", "unit").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_t", "p")).alias("at"))
+        # asking for a place as well lets both uses of the classes share one exchange
+        of = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("classes"), F.max("at").alias("last")).where("last is not null").drop("last")
         if self.first_stays:
-            others = classes.groupBy("h", "unit").agg(F.count("*").alias("classes"))
+            others = of(classes, "h", "unit")
             mark = F.when(F.col("unit"), UNIT).when(F.col("classes") == 1, ALL).otherwise(SINGLE)
             marks = classes.join(others, ["h", "unit"]).select("at.*", mark.alias("mark"))
         else:
             alone = classes.where("n = 1")
-            others = classes.where("n > 1").join(alone.select("h").distinct(), "h", "left_semi")
+            others = classes.where("n > 1").join(of(alone, "h"), "h", "left_semi")
             marks = alone.select("at.*", F.lit(SINGLE).alias("mark")).unionByName(others.select("at.*", F.lit(NO).alias("mark")))
         seeded = seeded.join(gathered(marks, "marks", F.struct("p", "mark")), key, "left")
 
@@ -148,7 +151,7 @@ class _Slice:
         self.begin = np.cumsum(self.lengths) - self.lengths
         units = [u for x in self.split for u in x]
         self.units, self.ends = winnow.hashed(units), winnow.ends_of(self.lengths)
-        self.long = np.fromiter(map(how.long, units), bool, len(units)) if how.long else np.zeros(len(units), bool)
+        self._long = lambda: np.fromiter(map(how.long, units), bool, len(units)) if how.long else np.zeros(len(units), bool)
         self.hashes = [winnow.Rolling(self.units, i) for i in (0, 1)]
         self.starts, self.chosen, self.grams = winnow.anchored(self.hashes[0], self.ends, how.gram, how.window)
         once = np.zeros(len(units) + 1, bool)
@@ -162,6 +165,10 @@ class _Slice:
             self.kept_units[at[mark == UNIT]] = True
             self.mark[at[mark != UNIT]] = mark[mark != UNIT]
 
+    @cached_property
+    def long(self) -> np.ndarray:
+        return self._long()
+
     def listed(self, name: str, field: str | None = None) -> np.ndarray:
         """The places in a column of lists, as places in the slice."""
         if name not in self.part.schema.names:

@@ -345,6 +345,43 @@ def test_template_automata():
     assert automaton.longest(plain.replace(b"free of charge", b"for a fee").split(), 0) == 0
 
 
+def as_regex(template):
+    """A template as a regular expression over words that each end with a space."""
+    out, pos = "", 0
+    for m in [*licenses._MARK.finditer(template), None]:
+        out += "".join(w + " " for w in re.findall("[0-9a-z]+", template[pos : m.start() if m else None].lower()))
+        if m:
+            pos = m.end()
+            out += "(?:" if m[1] == "beginOptional" else ")?" if m[1] == "endOptional" else f"(?:(?:{m[2].replace('.*', '[^ ]*')}) ){{{m[3]},{m[4]}}}"
+    return re.compile("(?<= )" + out)
+
+
+def test_labels_against_regular_expressions(spark):
+    """Labels of every document of a table, and of texts with and without what a template asks for."""
+    path = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    bsd = re.sub("<<var;match=.*?>>", "the owners", re.sub("<<(?:begin|end)Optional>>", "", licenses.TEMPLATES["bsd"][0]))
+    isc = re.sub("<<var;match=.*?>>", "the author", re.sub("<<(?:begin|end)Optional>>", "", licenses.TEMPLATES["isc"][0]).replace("modify and or", "modify and"))
+    rows += [(-1, bsd), (-2, bsd.replace("as is", "with love")), (-3, isc), (-4, isc[: len(isc) // 2]), (-5, "before " + bsd + " after " + isc)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    patterns = [(label, as_regex(t)) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    seen = collections.Counter()
+    for d, text in rows:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        joined = " " + " ".join(ws) + " "
+        want = {label for label, p in patterns if p.search(joined)}
+        labels = set(filter(None, got[d].labels.split(",")))
+        assert labels == want | set(filter(None, got[d].base_labels.split(","))), d
+        assert (got[d].score >= 0.75) == bool(want) and (got[d].score > 0) == bool(labels)
+        seen.update(want)
+    assert got[-1].labels == "bsd" and got[-2].labels == "" and got[-3].labels == "isc" and got[-4].labels == "" and got[-5].labels == "bsd,isc" and len(seen) > 4
+
+
+def test_template_of_optional_text():
+    a = licenses.compiled("x", "<<beginOptional>>very nice<<endOptional>>")
+    assert a.longest([b"very", b"nice"], 0) == 2 and a.longest([b"no"], 0) == 0
+
+
 def test_license_labels(spark):
     texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "no license at all"]
     got = [r.labels for r in licenses.license_scan(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()]
