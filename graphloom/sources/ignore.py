@@ -8,29 +8,28 @@ well when one of the directories above it is, and then nothing below can be take
 from __future__ import annotations
 
 import re
+from importlib.resources import files
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Never scanned, whatever a project says (fixed values).
-ALWAYS = """.DS_Store *.exe *.bin *.dll *.so *.dylib *.pyc *.pyo *.pyd __pycache__/ .git/ .svn/ .hg/
-*.json *.md *.kts *.properties *.xml *.gradle""".split()
-
-#: Used where a project has no rules of its own, by language (fixed values). HTML has none.
-DEFAULTS = {
-    "python": """__pycache__/ *.py[cod] *$py.class *.so .Python build/ develop-eggs/ dist/ downloads/ eggs/ .eggs/ lib/ lib64/
-        parts/ sdist/ var/ wheels/ share/python-wheels/ *.egg-info/ .installed.cfg *.egg MANIFEST *.manifest *.spec
-        pip-log.txt pip-delete-this-directory.txt htmlcov/ .tox/ .nox/ .coverage .coverage.* .cache nosetests.xml
-        coverage.xml *.cover *.py,cover .hypothesis/ .pytest_cache/ cover/ *.mo *.pot *.log local_settings.py db.sqlite3
-        db.sqlite3-journal instance/ .webassets-cache .scrapy docs/_build/ .pybuilder/ target/ .ipynb_checkpoints
-        profile_default/ ipython_config.py __pypackages__/ celerybeat-schedule celerybeat.pid *.sage.py .env .venv env/
-        venv/ ENV/ env.bak/ venv.bak/ .spyderproject .spyproject .ropeproject /site .mypy_cache/ .dmypy.json dmypy.json
-        .pyre/ .pytype/ cython_debug/ *test*""".split(),
-    "java": """*.class *.log *.ctxt .mtj.tmp/ *.jar *.war *.nar *.ear *.zip *.tar.gz *.rar hs_err_pid* replay_pid* target/
-        .github/ .gradle/ build/ !src/**/build/ .idea/ *.iml *.iws out/ .settings/ .classpath .project .factorypath
-        .vscode/ *test*""".split(),
-    "html": [],
-}
+
+
+def _sections(text: str) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for line in filter(None, text.splitlines()):
+        if line.startswith("[") and line.endswith("]"):
+            rules = out.setdefault(line[1:-1], [])
+        elif not line.startswith("#"):
+            rules.append(line)
+    return out
+
+
+_RULES = _sections(files("graphloom.sources").joinpath("ignore_rules.txt").read_text(encoding="utf-8"))
+#: Never scanned, whatever a project says.
+ALWAYS = _RULES.pop("always")
+#: Used where a project has no rules of its own, by language.
+DEFAULTS = _RULES
 
 
 def pattern_regex(pattern: str) -> tuple[str, bool, bool] | None:

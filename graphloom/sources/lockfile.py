@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import filecmp
 import json
+from collections.abc import Iterable
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,19 +55,33 @@ def exported(structs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     return rows.select("uid", F.to_json(F.struct(*fields)).alias("entry"))
 
 
+def _section(out: TextIO, name: str, rows: Iterable[tuple[str, str]]) -> None:
+    """A JSON object with a member a line, from keys and JSON texts."""
+    out.write(f'  "{name}": {{')
+    last = ""
+    for key, value in rows:
+        out.write(f"{last}\n    {json.dumps(key, ensure_ascii=False)}: {json.dumps(json.loads(value), sort_keys=True, ensure_ascii=False)}")
+        last = ","
+    out.write("\n  }" if last else "}")
+
+
 def write(path: Path, entries_: DataFrame, notes_: DataFrame, format_version: int) -> bool:
-    """Write the file with sorted keys; False and no write if its bytes would stay the same.
+    """Write the file, a member a line in order of uid; False if that changes nothing.
 
-    A lockfile is one file that people review, so its rows come to the driver.
+    Rows come sorted from Spark, a partition at a time, into a file beside the old one, which then takes
+    its place at once: a write that fails leaves the old file.
     """
-    payload = {
-        "lock_version": VERSION,
-        "format_version": format_version,
-        "entries": {r.uid: json.loads(r.entry) for r in entries_.toLocalIterator()},
-        "notes": {r.uid: [n.asDict() for n in r.notes] for r in notes_.toLocalIterator()},
-    }
-    text = json.dumps(payload, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
-    if path.exists() and path.read_text(encoding="utf-8") == text:
-        return False
-    path.write_text(text, encoding="utf-8")
-    return True
+    part = path.with_name(f"{path.name}.part")
+    rows = entries_.select("uid", "entry"), notes_.select("uid", F.to_json("notes").alias("notes"))
+    with part.open("w", encoding="utf-8") as out:
+        out.write("{\n")
+        _section(out, "entries", rows[0].orderBy("uid").toLocalIterator())
+        out.write(f',\n  "format_version": {format_version},\n  "lock_version": {VERSION},\n')
+        _section(out, "notes", rows[1].orderBy("uid").toLocalIterator())
+        out.write("\n}\n")
+    changed = not path.exists() or not filecmp.cmp(path, part, shallow=False)
+    if changed:
+        part.replace(path)
+    else:
+        part.unlink()
+    return changed

@@ -282,9 +282,9 @@ def test_a_broken_save_loses_nothing(spark, tmp_path):
     g.structs = g.structs.withColumn("description", F.when(F.col("name") == "f", "gives one").otherwise(""))
     project.store.commit(g, ("structs",))
     note = project.note_add("a.py#A.f(...)", "keep me")
-    for text in ("class A:\n    def f(self:\n        return 1\n", "class A(\n", "\0"):
+    for text, again in (("class A:\n    def f(self:\n        return 1\n", lambda: project.apply(spark.createDataFrame([("a.py", "modified")], "path string, change string"))), ("class A(\n\0", project.parse)):
         write(root, {"a.py": text})
-        for got in (project.apply(spark.createDataFrame([("a.py", "modified")], "path string, change string")), project.parse()):
+        for got in (again(),):
             assert {r.uid: r.description for r in got.structs.where("path = 'a.py'").collect()} == {"a.py": "", "a.py#A": "", "a.py#A.f(...)": "gives one"}
             assert [r.note_id for r in got.notes.collect()] == [note] and ("b.py#g(...)", "a.py#A") in named(got)
     write(root, {"a.py": "class A:\n    pass\n"})
