@@ -17,8 +17,8 @@ members of a bucket with its smallest, then, in blocks of bounded size, those th
 components. ``near_groups`` gives every document its class of equal fingerprints and its component.
 
 Defined results: null texts are empty; the fingerprint of an empty text is ``0:`` and like only itself;
-documents stand in ascending order of doc_id, null last, equal ones by text, and the first follows the
-last; further columns are ignored; an empty table gives an empty result.
+documents stand in ascending order of doc_id, equal ones by text; those without one follow in order of a
+hash of their text, and the first of all follows the last; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -141,30 +141,41 @@ def bands(digits: np.ndarray) -> list[str]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) dealt out in ranges of doc_id, one a partition and sorted.
+    """``docs`` (doc_id, text) dealt out in ranges of doc_id, one a partition and sorted; rows without one in ranges of a hash.
 
     The first document of a range also stands after the range before (ahead = 1), and the first of all
     after the last range.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = docs.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("bounds")).first()
-    bounds = sorted(set(at.bounds or []))
-    coarse, width = bounds[63::64], 64
-    longs = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
-    key = F.coalesce("doc_id", F.lit(common.LAST))
-
-    def upto(values: Column) -> Column:
-        return F.size(F.filter(values, lambda x: x <= key))
-
-    skip = upto(longs(coarse)) * width
-    block = (skip + upto(F.slice(longs(bounds), skip + 1, width))).cast("int")
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), block.alias("block"))
+    cuts = [k / n for k in range(1, n)] or [0.5]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    at = rows.agg(*(F.percentile_approx(c, cuts, 10_000) for c in ("doc_id", "hash"))).first()  # shuffle.partitions numbers each
+    bounds, hashes = sorted(set(at[0] or [])), sorted(set(at[1] or []))
+    longs = lambda x: F.array(*(F.lit(v).cast("long") for v in x)).cast("array<bigint>")
+
+    def upto(values: list[int], key: str) -> Column:
+        """How many of the sorted ``values`` are not above the key; found in two steps."""
+        width = 64
+        count = lambda some: F.size(F.filter(some, lambda x: x <= F.col(key)))
+        skip = count(longs(values[width - 1 :: width])) * width
+        return skip + count(F.slice(longs(values), skip + 1, width))
+
+    block = F.when(F.col("hash").isNull(), upto(bounds, "doc_id")).otherwise(upto(hashes, "hash") + len(bounds) + 1).cast("int")
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", "hash").alias("key"), block.alias("block"))
+    first = {r.block: r.first for r in rows.groupBy("block").agg(F.min("key").alias("first")).collect()}  # a row a block
+    used, blocks = sorted(first), len(bounds) + len(hashes) + 2
+    if not used:
+        return rows.withColumn("ahead", F.lit(0))
+    previous = dict(zip(used[1:], used))
+    leads = F.col("key") == F.get(longs(first.get(b) for b in range(blocks)), F.col("block"))
     own = F.struct(F.col("block").alias("block"), F.lit(0).alias("ahead"))
-    before = F.when(F.get(longs(bounds), F.col("block") - 1) == F.col("doc_id"), F.struct((F.col("block") - 1).alias("block"), F.lit(1).alias("ahead")))
-    after = F.when(F.col("doc_id") == F.lit(at.first), F.struct(F.lit(len(bounds)).alias("block"), F.lit(1).alias("ahead")))
-    out = out.select("doc_id", "text", F.inline(F.filter(F.array(own, before, after), lambda x: x.isNotNull())))
-    return out.repartitionById(len(bounds) + 1, F.col("block")).sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_last(), "text")
+    before = F.struct(F.get(longs(previous.get(b) for b in range(blocks)), F.col("block")).cast("int").alias("block"), F.lit(1).alias("ahead"))
+    after = F.struct(F.lit(used[-1]).alias("block"), F.lit(1).alias("ahead"))
+    places = F.array(own, F.when(leads & (F.col("block") != used[0]), before), F.when(leads & (F.col("block") == used[0]), after))
+    out = rows.select("doc_id", "text", "key", F.inline(F.filter(places, lambda x: x.isNotNull())))
+    return out.repartitionById(blocks, F.col("block")).sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_last(), "key", "text")
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, banded_edited boolean, banded_next boolean"
@@ -182,7 +193,7 @@ def _compared() -> Callable:
         return doc_id, len(text), sha, walk.fingerprint, edited.fingerprint, likeness(walk.digits, edited.digits), likeness(walk.digits, next_walk.digits), *shares
 
     def run(batches):
-        first = before = None
+        before = None
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
         done = False
         for batch in batches:
@@ -191,14 +202,11 @@ def _compared() -> Callable:
                 if done:
                     break
                 mine = (doc_id, text, Walk(text))
-                first = first or mine
                 if before:
                     rows.append(row(before, mine))
                 before, done = mine, bool(ahead)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if k != "doc_id" else pa.array(c, pa.int64()) for k, c in zip(names, zip(*rows))], names)
-        if before and not done:  # no doc_id at all: the first text follows the last
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) if k == "doc_id" else pa.array([x]) for k, x in zip(names, row(before, first))], names)
 
     return run
 

@@ -561,6 +561,25 @@ def test_fingerprints(spark, odd, none):
     assert fingerprints.fingerprints(odd.where("doc_id is null")).count() == 2 and fingerprints.fingerprints(odd.where("doc_id = 7")).count() == 1
 
 
+@pytest.mark.parametrize("ids", [20, 0])
+def test_fingerprints_without_ids(spark, ids):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdef "), rng.integers(0, 60))) for _ in range(80)]
+    rows = [(i if i < ids else None, t) for i, t in enumerate(texts)] + [(None, texts[-1])] * 3
+    rows = [(d if d is None or d < 5 else (1 << 60) + d, t) for d, t in rows]  # larger than a double tells apart
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = fingerprints.fingerprints(docs)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else hashes[r[1]], r[1]))
+    want = []
+    for (d, t), (_, after) in zip(order, order[1:] + order[:1]):
+        m = len(t) // 4
+        want.append((d, len(t), hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in out.collect())
+    if not ids:
+        assert len([n for n in out.select(F.spark_partition_id().alias("p")).distinct().collect()]) > 2
+
+
 def test_edits_stay_near(spark):
     got = fingerprints.op7_fingerprints(spark, "/root/testdata/sf0.01").toPandas()
     long = got[got.n_chars > 200]
