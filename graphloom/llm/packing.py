@@ -100,10 +100,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
 def _pieces(path: str, capacity: int) -> Callable:
     def run(batches):
-        for batch in batches:
-            encode, rows = encoder(path), []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
+        encode = encoder(path)
+        for part in (part for batch in batches for part in common.slices(batch)):
+            rows = []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
