@@ -44,6 +44,11 @@ def listed(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     return [(f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def discard(table: DataFrame) -> None:
     """Delete a written table that no plan will read again; other tables are left alone."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.functions.scratch import scratch_path
+from graphloom.functions.scratch import is_folder, scratch_path
 from graphloom.operators.reconcile import latest
 
 
@@ -18,7 +18,11 @@ def upserted(spark: SparkSession, path: str, key: str, order: list[str], rest: l
     columns = [key, *order, *rest]
     schema = spark.read.parquet(path).select(*columns).schema
     base = base or scratch_path(spark, "upsert")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).select(*columns)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    # a stream reads folders: a table of one file is that file of its folder
+    stream = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+    stream = stream.select(*columns)
 
     def merge(batch: DataFrame, number: int) -> None:
         table = latest(batch, key, *order)

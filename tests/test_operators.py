@@ -103,13 +103,13 @@ def test_descriptions(spark):
     texts = {r.id: r.t for r in rows.select("id", describe.embedding_text().alias("t")).collect()}
     assert texts["M1"] == "s.py#S.m: own" and texts["C1"] == "s.py#S: class S: ..." and texts["F1"] == "e.py: n"
     assert {r.id for r in describe.eligible(rows).collect()} == {"F1", "F2", "C1", "M1"}
-    assert "M1 | def m()\n// own" in describe.skeleton_text(rows).first().text
+    assert "M1 | def m()\n// own" in describe.skeleton_text(rows.where("type = 'class'"), rows).first().text
 
     def client(texts):
         for t in texts:
             yield t.str.upper().str[:6]
 
-    assert {r.id: r.description for r in describe.described(rows.withColumn("diff_hash", F.lit("x")), lock, client).collect()}["C1"] == "S.PY#S"
+    assert {r.id: r.description for r in describe.described(rows.withColumn("diff_hash", F.lit("x")), lock, client).collect()}["C1"] == "CLASS "
 
 
 def test_vectors_of_models(spark):
