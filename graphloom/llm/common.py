@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ LAST = (1 << 63) - 1
 
 #: Bytes of text that are handled at once in a task.
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FILE_ROWS = 50_000
 
 
@@ -36,6 +39,17 @@ def in_files(df: DataFrame, rows: int = 0) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_ROWS`` rows at most while a table is being written; the session's own setting stands afterwards."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, name: str, rows: int | None = 0) -> DataFrame:
     """``df`` written to the shared folder and read back, so that later plans start from the table.
 
@@ -43,7 +57,8 @@ def written(df: DataFrame, name: str, rows: int | None = 0) -> DataFrame:
     partitions as they are, for tables that cost much to make.
     """
     path = scratch_path(df.sparkSession, name)
-    (df if rows is None else in_files(df, rows)).write.option("compression", "zstd").parquet(path)
+    with _small_batches(df.sparkSession):
+        (df if rows is None else in_files(df, rows)).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +75,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for at, end in zip(cuts, cuts[1:]):
         yield batch.slice(at, end - at)
+    pa.default_memory_pool().release_unused()
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -195,6 +195,15 @@ def test_rolling_hashes():
         assert np.array_equal(again.of(np.array([3, 50]), np.array([3, 50]) + length), again.all(length)[[3, 50]])
 
 
+def test_session_stays_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for own in ("10000", "77"):
+        spark.conf.set(key, own)
+        minhash_dedup.minhash_dedup(spark.createDataFrame([(1, "a b c d e f", None, None, 0)], SCHEMA)).collect()
+        assert spark.conf.get(key) == own
+    spark.conf.unset(key)
+
+
 # -- near dedup --------------------------------------------------------------------------------------
 
 
