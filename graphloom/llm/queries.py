@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, fingerprints, language_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, substring_dedup
+from . import alignment, fingerprints, language_id, lexical, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, substring_dedup
 
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     "pipeline": pipeline,
 }
@@ -35,4 +36,5 @@ ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op9_minhash_dedup": minhash_dedup.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
 }
