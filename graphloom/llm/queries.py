@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, fingerprints, language_id, lexical, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, substring_dedup
+from . import alignment, fingerprints, language_id, lexical, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, toxicity
 
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     "pipeline": pipeline,
 }
