@@ -15,14 +15,18 @@ are scored a chunk at once: the tables are asked for each different gram of the
 
 Bytes are those of UTF-8 with A-Z lower-cased; each of the 256 values is a symbol of its own.
 
-Learning: per language the documents with the smallest hashes of doc_id, up to ``SAMPLE_BYTES`` bytes
-of text a language - a bounded sample, the same in each run. Prediction reads every byte of every text.
+Learning: per language the documents with the smallest hashes of doc_id and text, up to ``SAMPLE_BYTES`` bytes
+of text a language - a bounded sample, the same in each run. It is looked for in one bucket of the hashes, and in
+wider ones where few different documents fall there, so no language is missed. The ``LANGUAGES`` with the most rows
+are learned (ties by name), which bounds the model. Prediction reads every byte of every text.
 
 score is the posterior of the predicted language with code lengths taken for each ``EVIDENCE`` bytes
 at most (else it would be 1 for every longer text), in 0 to 1. A text is ``und`` with score 0 if it is
 null or has no letter. ``bits`` is the code length a byte.
 
-Defined results: empty texts are ``und``; without any learning row every text is ``und``; rows with a
+Ties: of equal code lengths the language first by name wins. Very long texts are scored in chunks, whole.
+
+Defined results: null and empty texts are ``und``; without any learning row every text is ``und``; rows with a
 null lang or doc_id are not learned from; further columns are ignored; repeated rows count twice.
 """
 
@@ -42,6 +46,7 @@ from . import common
 
 ORDER, SYMBOLS = 3, 256
 SAMPLE_BYTES = 400_000
+LANGUAGES = 512
 EVIDENCE = 40
 #: Bytes of text that are scored at once in a task.
 CHUNK = 1 << 20
@@ -255,24 +260,27 @@ def _predict(model: Model, names: list[str]) -> Callable:
     return run
 
 
-def learned(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def learned(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> Model:
     """The frozen model of the rows of ``docs`` (doc_id, text, lang) that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~held_out())
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("hash"), F.octet_length("text").cast("long").alias("bytes"), "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).collect()  # a row a language
+    rows = rows.select("lang", F.xxhash64("doc_id").alias("order"), F.xxhash64("doc_id", "text").alias("hash"), F.octet_length("text").cast("long").alias("bytes"), "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).orderBy(F.desc("rows"), "lang").limit(languages).collect()
     # One hash bucket of so many holds about twice the sample of a language, and 50 documents at least.
     share = {r.lang: max(1, min(r.bytes // (2 * sample_bytes), r.rows // 50)) for r in counts}
-    widest = F.create_map(*(F.lit(x) for pair in share.items() for x in pair)) if share else None
-    if widest is None:
-        return fit({}, {})
-    picked = rows.where(F.pmod("hash", widest[F.col("lang")]) == 0)
-    upto = F.sum("bytes").over(W.partitionBy("lang").orderBy("hash", "text"))
-    picked = picked.withColumn("upto", upto).where(F.col("upto") - F.col("bytes") < sample_bytes)
-    picked = picked.select("lang", "hash", F.substring("text", 1, sample_bytes).alias("text")).collect()  # bounded by languages x sample
     texts: dict[str, bytes] = {}
-    for r in sorted(picked, key=lambda r: (r.lang, r.hash, r.text)):
-        texts[r.lang] = texts.get(r.lang, b"") + r.text.encode() + b"\n"
-    return fit(texts, {r.lang: r.rows for r in counts if r.lang in texts})
+    while share:
+        widest = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+        copies = rows.where(F.pmod("hash", widest) == 0).groupBy("lang", "order", "hash", "bytes", "text").agg(F.count("*").alias("copies"))
+        copies = copies.withColumn("copies", F.least("copies", F.ceil(F.lit(sample_bytes) / F.col("bytes"))))  # of one text so many at most
+        upto = F.sum(F.col("bytes") * F.col("copies")).over(W.partitionBy("lang").orderBy("hash", "text"))
+        picked = copies.withColumn("before", upto - F.col("bytes") * F.col("copies")).where(F.col("before") < sample_bytes)
+        picked = picked.select("lang", "order", "copies", F.substring("text", 1, sample_bytes).alias("text")).collect()  # bounded by languages x sample
+        own: dict[str, bytes] = {}
+        for r in sorted(picked, key=lambda r: (r.lang, r.order, r.text)):
+            own[r.lang] = own.get(r.lang, b"") + (r.text.encode() + b"\n") * r.copies
+        texts |= {x: own[x] for x in share if share[x] == 1 or len(own.get(x, b"")) >= sample_bytes}
+        share = {x: max(1, n // 16) for x, n in share.items() if x not in texts}
+    return fit(texts, {r.lang: r.rows for r in counts})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,9 +7,9 @@ assign (a secret's name, ``=`` or ``:`` and a value of 12 or more characters), a
 The method: every base value and every mixed token (20 or more characters of ``[A-Za-z0-9+/_-]`` with a
 digit, an upper and a lower letter) is a candidate. Candidates are hashed where they are found - plain
 values are never written - and their hashes are counted over the corpus by distinct owners and distinct
-repositories. A value that ``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories hold is a
-copied example, however it looks; one that fewer owners in fewer repositories hold and that looks random
-(enough different characters, no placeholder word) is live. Live values add a span ``live:start:end``;
+repositories. A value that ``COPIED_OWNERS`` owners hold, or two owners in ``COPIED_REPOSITORIES``
+repositories, is a copied example, however it looks; one of fewer holders - of a single owner in any number of
+repositories - that looks random (enough different characters, no placeholder word) is live. Live values add a span ``live:start:end``;
 base spans stay. n_owners and n_repositories tell the most that any value of the document has.
 
 Positions are running sums over the gaps (``split`` on the pattern) and the matches
@@ -36,7 +36,7 @@ MIXED = r"([A-Za-z0-9+/_-]{20,})"
 KINDS = {"assign": (ASSIGN, 2), "access": (ACCESS, 1), "hex": (HEX, 1), "mixed": (MIXED, 1)}
 BASE = ("assign", "access", "hex")
 ASSIGN_CHARS = 12
-#: From so many distinct owners or repositories on, a value is a copied example.
+#: From so many distinct owners on, or with two owners from so many distinct repositories on, a value is a copied example.
 COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 #: Candidates of one hash that are judged in one task, and hashes that can have more: with n candidates in
 #: all a hash counts as hot from max(HOT_ROWS, n / HOT_HASHES) on, so there are never more.
@@ -116,7 +116,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     places = matches.withColumn("e", F.sum(F.col("gap") + F.col("length")).over(upto)).where("value_hash is not null")
     places = judged(places.select("_row", "i", "kind", "width", "live", "value_hash", (F.col("e") - F.col("length")).alias("s"), "e"), verdicts)
 
-    copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES)
+    copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("owners") > 1) & (F.col("repositories") >= COPIED_REPOSITORIES)
     rank = F.array_position(F.array(*map(F.lit, BASE)), F.col("kind"))
     base = F.when(rank > 0, F.struct("s", rank.alias("rank"), "e", "kind"))
     # An assigned value starts later than its span, and one value can be found by several kinds: live
@@ -168,7 +168,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents
   SELECT * FROM f WHERE CASE kind WHEN 'assign' THEN length(value) >= {ASSIGN_CHARS}
     WHEN 'mixed' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') ELSE true END
 ), o AS (
-  SELECT value, owners, repositories, owners >= {COPIED_OWNERS} OR repositories >= {COPIED_REPOSITORIES} AS copied FROM (
+  SELECT value, owners, repositories, owners >= {COPIED_OWNERS} OR owners > 1 AND repositories >= {COPIED_REPOSITORIES} AS copied FROM (
     SELECT value, count(DISTINCT coalesce('o:' || source, 'r:' || doc_id, '?')) AS owners, count(DISTINCT doc_id) AS repositories FROM c GROUP BY value)
 ), j AS (
   SELECT c.*, owners, repositories, copied, NOT copied AND len(list_distinct(string_split(value, ''))) >= {LIVE_CHARS} AND NOT regexp_matches(lower(value), '{PLACEHOLDERS}') AS live

@@ -73,8 +73,9 @@ def test_secret_ownership(spark, monkeypatch):
     monkeypatch.setattr(secrets, "HOT_ROWS", 4)
     key = lambda i: hashlib.sha256(b"%d" % i).hexdigest()[:16].upper() + "qz7"
     rows = [(0, f"x {key(0)}xyz", None, "a", 0), (1, f"y {key(0)}xyz", None, "b", 0)]  # two owners: live
-    rows += [(10 + i, f"{key(1)}xyz", None, "a", 0) for i in range(10)]  # one owner, ten repositories: copied
-    rows += [(30 + i, f"é {key(2)}xyz", None, "a", 0) for i in range(9)]  # nine: live
+    rows += [(10 + i, f"{key(1)}xyz", None, "ab"[i % 2], 0) for i in range(10)]  # two owners, ten repositories: copied
+    rows += [(30 + i, f"é {key(2)}xyz", None, "ab"[i % 2], 0) for i in range(9)]  # nine: live
+    rows += [(50 + i, f"é {key(4)}xyz", None, "a", 0) for i in range(12)]  # one owner, twelve repositories: live
     rows += [(None, f"{key(3)}xyz {key(3)}xyz", None, None, 0)]
     got = secrets.secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()
     by = collections.defaultdict(list)
@@ -82,7 +83,8 @@ def test_secret_ownership(spark, monkeypatch):
         by[r.doc_id].append((r.spans, r.n_live, r.n_copied, r.n_owners, r.n_repositories))
     n = len(key(0)) + 3
     assert by[0] == by[1] == [(f"live:2:{2 + n}", 1, 0, 2, 2)]
-    assert all(by[10 + i] == [("", 0, 1, 1, 10)] for i in range(10)) and all(by[30 + i] == [(f"live:2:{2 + n}", 1, 0, 1, 9)] for i in range(9))
+    assert all(by[10 + i] == [("", 0, 1, 2, 10)] for i in range(10)) and all(by[30 + i] == [(f"live:2:{2 + n}", 1, 0, 2, 9)] for i in range(9))
+    assert all(by[50 + i] == [(f"live:2:{2 + n}", 1, 0, 1, 12)] for i in range(12))
     assert by[None] == [(f"live:0:{n},live:{n + 1}:{2 * n + 1}", 2, 0, 1, 0)]
 
 
@@ -511,6 +513,17 @@ def test_language_of_held_out(spark):
     assert all((zlib.crc32(str(i).encode()) % 4 == 2) == h for i, h in got.held_out.items())
 
 
+def test_every_language_is_learned(spark):
+    """Rows that share a doc_id, or a text, do not hide their language."""
+    rows = [(i, "the cat sat on the mat and the dog ran " * 3, "en", "a", 0) for i in range(60)]
+    german = [f"Das Wetter ist {i} schön und die Bäume grün " * 1300 for i in range(200)]
+    for doc_id in (8, 9, 10, 11):
+        docs = spark.createDataFrame(rows + [(doc_id, t, "de", "a", 0) for t in german] + [(doc_id, german[0], "fr", "b", 0)] * 200, SCHEMA)
+        model = language_id.learned(docs)
+        assert model.langs == ("de", "en", "fr")
+    assert language_id.learned(docs, languages=2).langs == ("de", "fr")  # those with the most rows
+
+
 def test_language_of_odd_rows(spark, odd, none):
     model = language_id.learned(odd)
     out = language_id.identify(odd, model).collect()
