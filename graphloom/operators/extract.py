@@ -15,6 +15,7 @@ import hashlib
 import io
 import re
 import tokenize
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -137,10 +138,36 @@ def _parses(lines: list[str]) -> bool:
     return True
 
 
-def _mended(lines: list[str], indent: str = "") -> list[str]:
+_TOKEN = re.compile(r"""#[^\r\n]*|(?P<triple>"{3}|'{3})(?:\\.|.)*?(?P=triple)|"(?:\\.|[^"\\\r\n])*"|'(?:\\.|[^'\\\r\n])*'|(?P<open>[(\[{])|(?P<close>[)\]}])""", re.S)
+_STATEMENT = re.compile(r"[ \t]*(?:@|(?:async|def|class|import|from|return|with|while|try)\b)")
+
+
+def _goes_on(text: str, lines: list[str]) -> list[bool]:
+    """Whether each line begins inside a string, or inside brackets that close before another statement begins."""
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line))
+    line_of = lambda at: bisect_right(starts, at) - 1
+    inside, brackets, opened = [False] * (len(lines) + 1), [], []
+    for m in _TOKEN.finditer(text):
+        if m["triple"]:
+            for i in range(line_of(m.start()) + 1, line_of(m.end() - 1) + 1):
+                inside[i] = True
+        elif m["open"]:
+            opened.append(line_of(m.start()))
+        elif m["close"] and opened:
+            brackets.append((opened.pop(), line_of(m.start())))
+    begins = [i for i, line in enumerate(lines) if not inside[i] and _STATEMENT.match(line)]
+    for first, last in brackets:
+        if bisect_right(begins, first) == bisect_right(begins, last):
+            inside[first + 1 : last + 1] = [True] * (last - first)
+    return inside[: len(lines)]
+
+
+def _mended(lines: list[str], goes_on: list[bool], indent: str = "") -> list[str]:
     """``lines`` with empty ones in place of the statements, at this indentation, that do not parse; in classes, of those inside."""
     inside = lambda line: line.startswith(indent) and bool(_BLOCK.match(line[len(indent) :])) and not _GOES_ON.match(line[len(indent) :])
-    starts = [i for i, line in enumerate(lines) if inside(line)]
+    starts = [i for i, line in enumerate(lines) if not goes_on[i] and inside(line)]
     out = ["\n"] * (starts[0] if starts else len(lines))
     at = 0
     while at < len(starts):
@@ -151,7 +178,7 @@ def _mended(lines: list[str], indent: str = "") -> list[str]:
         block, head = lines[begin:end], starts[at] - begin + 1
         if not _parses(block) and lines[starts[at]].lstrip().startswith("class") and _parses([*block[:head], f"{indent} pass\n"]):
             body = next((re.match(r"\s*", line)[0] for line in block[head:] if line.strip()), "")
-            kept = _mended(block[head:], body) if len(body) > len(indent) else []
+            kept = _mended(block[head:], goes_on[begin + head : end], body) if len(body) > len(indent) else []
             block = [*block[:head], *kept, *[f"{indent} pass\n"] * (not any(map(str.strip, kept)))][: len(block)]
         out += block if _parses(block) else ["\n"] * (end - begin)
         at += 1
@@ -164,7 +191,8 @@ def python_nodes(path: str, data: bytes) -> Iterator[dict]:
     try:
         tree = ast.parse(text)
     except SyntaxError:
-        tree, whole = ast.parse("".join(_mended(re.findall(r".*?(?:\r\n|\r|\n)|.+$", text, re.S)))), False
+        lines = re.findall(r".*?(?:\r\n|\r|\n)|.+$", text, re.S)
+        tree, whole = ast.parse("".join(_mended(lines, _goes_on(text, lines)))), False
     imports, alias = _imports(tree, path)
     yield _node(**file_node(path, data, text), imports=imports, package=".".join(path.split("/")[:-1]), parsed=whole)
     yield from _children(source, tree.body, path, True, alias)

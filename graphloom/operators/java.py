@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 _BLANK = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|.)*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
@@ -15,6 +16,11 @@ _TYPE = re.compile(r"(?P<kind>class|interface|enum|record|@interface)\s+(?P<name
 _METHOD = re.compile(r"(?P<before>.*?)(?P<name>\w+)\s*\((?P<params>.*)\)\s*(?:throws\s[^{]*)?(?:default\s.*)?$", re.S)
 _ANNOTATION = re.compile(r"@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?")
 _MODIFIER = re.compile(r"\b(?:public|protected|private|static|final|abstract|native|synchronized|transient|volatile|strictfp|default|sealed)\b|\bnon-sealed\b")
+_BRACE, _FILLED = re.compile("[{}]"), re.compile(r"\S")
+#: A parameter: its type, and its name with dimensions behind it.
+_PARAMETER = re.compile(r"(.*[\s>\]])[\w$]+(?:\s*\[\s*\])*\s*", re.S)
+#: Types longer than this are cut in signatures.
+TYPE_CHARS = 50
 _CALL = re.compile(r"(\w+)\s*\(")
 #: Type arguments without others inside; a space before the bracket makes it a comparison.
 _GENERIC = re.compile(r"(?<=\w)<[\w\s,.?&\[\]]*>")
@@ -56,10 +62,10 @@ def import_candidate(name: str, wildcard: bool) -> str:
 def _close(text: str, at: int) -> int:
     """Place after the brace that closes the one at ``at``."""
     depth = 0
-    for m in re.finditer("[{}]", text[at:]):
+    for m in _BRACE.finditer(text, at):
         depth += 1 if m[0] == "{" else -1
         if not depth:
-            return at + m.end()
+            return m.end()
     return len(text)
 
 
@@ -152,11 +158,13 @@ def _calls(text: str) -> list[dict]:
             dot -= 1
         chained = bool(dot) and text[dot - 1] == "."
         begin = _begin(text, dot - 1, brackets, known) if chained else at
-        lead = re.search(r"\bnew\s*$", text[max(0, begin - 64) : begin])
+        new = begin
+        while new and text[new - 1].isspace():
+            new -= 1
+        lead = text.endswith("new", 0, new) and not (new > 3 and (text[new - 4].isalnum() or text[new - 4] in "_$"))
         made = re.fullmatch(r"(?:new\s+)?([\w.\s]+)", text[begin:paren]) if lead or text.startswith("new", begin) and text[begin + 3 : begin + 4].isspace() else None
-        known[at] = begin - len(lead[0]) if lead else begin
-        inside = text[paren + 1 : brackets.closes.get(paren, len(text))][:4096]
-        arity = brackets.commas[paren] + 1 if inside.strip() or brackets.commas[paren] else 0
+        known[at] = new - 3 if lead else begin
+        arity = brackets.commas[paren] + 1 if brackets.commas[paren] or _FILLED.search(text, paren + 1, brackets.closes.get(paren, len(text))) else 0
         if made:
             out.append({"name": re.sub(r"\s", "", made[1]), "arity": arity, "receiver": None, "is_creation": True})
         else:
@@ -171,31 +179,50 @@ def java_nodes(path: str, data: bytes) -> Iterator[dict]:
     package = re.search(r"^\s*package\s+([\w.]+)\s*;", text, re.M)
     imports = [import_candidate(m[1], bool(m[2])) for m in re.finditer(r"^\s*import\s+(?:static\s+)?([\w.]+?)(\.\*)?\s*;", text, re.M)]
     yield {"uid": path, "name": path.rsplit("/", 1)[-1], "type": "file", "start_line": 1, "end_line": data.count(b"\n") + (not data.endswith(b"\n")), "body": raw, "diff_hash": hashlib.md5(data).hexdigest(), "package": package[1].replace(".", "/") if package else "", "imports": list(dict.fromkeys(imports))}
-    yield from _inside(raw, text, 0, len(text), path, True)
+    shown = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0], raw)
+    yield from _inside((raw, text, shown, [m.start() for m in re.finditer("\n", raw)]), 0, len(text), path, True)
 
 
-def _inside(raw: str, text: str, begin: int, end: int, parent: str, top: bool) -> Iterator[dict]:
+def _plain(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
+
+
+def parameter_types(params: str) -> list[str]:
+    """Types of the parameters in order; varargs are none."""
+    given = [_PARAMETER.fullmatch(re.sub(r"\bfinal\b", " ", p)) for p in split_top(params) if "..." not in p]
+    return [_plain(m[1]) for m in given if m and m[1].strip()]
+
+
+def _inside(source: tuple[str, str, str, list[int]], begin: int, end: int, parent: str, top: bool) -> Iterator[dict]:
+    """Nodes between two places of a file: as it is, without what comments and literals hold, without comments, and where its lines end."""
+    raw, text, shown, line_ends = source
     lead = f"{parent}#" if top else f"{parent}."
     for i, (start, header, body, stop) in enumerate(_members(text, begin, end)):
         start += len(header) - len(header.lstrip())
+        header = header.lstrip()
         own = raw[start:stop]
-        shared = {"parent_uid": parent, "ord": i, "body": own, "diff_hash": hashlib.md5(own.encode()).hexdigest(), "start_line": text.count("\n", 0, start) + 1, "end_line": text.count("\n", 0, stop) + 1}
-        plain = re.sub(r"\s+", " ", _ANNOTATION.sub(" ", header)).strip()
-        kind = _TYPE.search(plain)
+        shared = {"parent_uid": parent, "ord": i, "body": own, "diff_hash": hashlib.md5(own.encode()).hexdigest(), "start_line": bisect_left(line_ends, start) + 1, "end_line": bisect_left(line_ends, stop) + 1}
+        bare = _ANNOTATION.sub(lambda m: " " * len(m[0]), header)
+        plain = _plain(bare)
+        kind = _TYPE.search(bare)
         if kind and body >= 0:
             if kind["kind"] in ("enum", "record", "@interface"):
                 continue
-            generics = re.match(r"<(?:[^<>]|<[^<>]*>)*>", kind["rest"].strip())
-            rest = kind["rest"].strip()[generics.end() if generics else 0 :]
+            rest = _plain(kind["rest"])
+            generics = re.match(r"<(?:[^<>]|<[^<>]*>)*>", rest)
+            rest = rest[generics.end() if generics else 0 :]
             bases = [re.sub(r"<.*>$", "", b) for clause in (re.findall(r"(?:extends|implements)\s+(.*?)(?=\s(?:extends|implements|permits)\s|$)", rest) if kind["kind"] == "class" else ()) for b in split_top(clause)]
-            yield shared | {"uid": lead + kind["name"], "name": kind["name"], "type": "class", "signature": f"{plain[: kind.start()]}class {plain[kind.start() + len(kind['kind']) + 1 :]}".strip(), "inherits": bases}
-            yield from _inside(raw, text, body + 1, stop - 1, lead + kind["name"], False)
-        elif not top and "(" in plain.split("=")[0] and (m := _METHOD.match(plain.split("{")[0])):
-            given = [re.sub(r"\bfinal\b", "", p).strip() for p in split_top(m["params"])]
-            kinds = [erased(p.rsplit(None, 1)[0]) for p in given if len(p.split()) > 1 and "..." not in p]
-            yield shared | {"uid": f"{lead}{m['name']}({', '.join(kinds)})", "name": m["name"], "type": "method", "signature": f"{m['before']}{m['name']}({', '.join(given)})".strip(), "arity": len(kinds), "calls": _calls(text[body:stop]) if body >= 0 else []}
+            signature = f"{_plain(shown[start : start + kind.start()])} class {kind['name']}{generics[0] if generics else ''}".strip()
+            yield shared | {"uid": lead + kind["name"], "name": kind["name"], "type": "class", "signature": signature, "inherits": bases}
+            yield from _inside(source, body + 1, stop - 1, lead + kind["name"], False)
+        elif not top and "(" in bare.split("=")[0] and (m := _METHOD.match(bare.split("{")[0])):
+            types = parameter_types(m["params"])
+            kinds, cut = [erased(t) for t in types], ", ".join(t if len(t) <= TYPE_CHARS else f"{t[: TYPE_CHARS - 3]}..." for t in types)
+            signature = f"{_plain(shown[start : start + m.start('name')])} {m['name']}({cut})".strip()
+            yield shared | {"uid": f"{lead}{m['name']}({', '.join(kinds)})", "name": m["name"], "type": "method", "signature": signature, "arity": len(kinds), "calls": _calls(text[body:stop]) if body >= 0 else []}
         elif not top and body < 0 and plain:
             declared = _MODIFIER.sub(" ", split_top(plain.split("=")[0])[0]).split()
             if len(declared) > 1 and declared[0] not in ("package", "import"):
                 name, field = declared[-1].rstrip("[]"), re.sub(r"\s+", "", "".join(declared[:-1]))
-                yield shared | {"uid": lead + name, "name": name, "type": "field", "signature": plain.split("=")[0].strip(), "field_type": field}
+                before = shown[start : start + len(split_top(bare.split("=")[0])[0]) + len(bare) - len(bare.lstrip())]
+                yield shared | {"uid": lead + name, "name": name, "type": "field", "signature": re.sub(r"(?:\s*\[\s*\])+$", "", _plain(before)), "field_type": field}

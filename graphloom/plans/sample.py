@@ -75,7 +75,7 @@ TEMPLATES = (
         BASE,
         "package com.base;\npublic class B$N {\n    public int find(String name, int n) { return n; }\n    public int find(int n) { return n; }\n}\n",
         "SELECT NULL AS s, n_nationkey AS n, NULL AS r, NULL AS c FROM nation",
-        (("#B$N", "class", "", "public class B$N", None, 2, 5), ("#B$N.find(String, int)", "method", "#B$N", "public int find(String name, int n)", 2, 3, 3), ("#B$N.find(int)", "method", "#B$N", "public int find(int n)", 1, 4, 4)),
+        (("#B$N", "class", "", "public class B$N", None, 2, 5), ("#B$N.find(String, int)", "method", "#B$N", "public int find(String, int)", 2, 3, 3), ("#B$N.find(int)", "method", "#B$N", "public int find(int)", 1, 4, 4)),
     ),
     Template(
         "java",
@@ -84,11 +84,11 @@ TEMPLATES = (
         "    public B$N made() { return new B$N(); }\n    int again(java.util.List<String> a) { return count(a.get(0)); }\n}\n",
         "SELECT NULL AS s, c_nationkey AS n, NULL AS r, c_custkey AS c FROM customer",
         (
-            ("#C$C", "class", "", "public class C$C extends B$N", None, 3, 8),
+            ("#C$C", "class", "", "public class C$C", None, 3, 8),
             ("#C$C.inner", "field", "#C$C", "private B$N inner", None, 4, 4),
-            ("#C$C.count(String)", "method", "#C$C", "public int count(java.lang.String name)", 1, 5, 5),
+            ("#C$C.count(String)", "method", "#C$C", "public int count(java.lang.String)", 1, 5, 5),
             ("#C$C.made()", "method", "#C$C", "public B$N made()", 0, 6, 6),
-            ("#C$C.again(List)", "method", "#C$C", "int again(java.util.List<String> a)", 1, 7, 7),
+            ("#C$C.again(List)", "method", "#C$C", "int again(java.util.List<String>)", 1, 7, 7),
         ),
         (
             ("@#C$C", f"{BASE}#B$N", EXACT),  # by import, by base and by field
