@@ -1,7 +1,8 @@
 """Containment trees and dependency graphs.
 
-Nodes have ``id`` and ``parent_id`` (null at a root); edges have ``source_id`` and ``target_id``. Loops run
-once a level of the tree, each level a join on the level before, so their number is the tree's depth.
+Nodes have ``id`` and ``parent_id`` (null at a root); edges have ``source_id`` and ``target_id``. What needs
+all ancestors starts from root paths, which take as many joins as the logarithm of the tree's depth; a skeleton
+runs once a level.
 """
 
 from __future__ import annotations
@@ -14,16 +15,23 @@ from graphloom.functions.ident import suffixes
 from graphloom.functions.scratch import written
 
 
+def root_paths(nodes: DataFrame) -> DataFrame:
+    """(id, path): each node and its ancestors, up to a root or to a parent that is no node.
+
+    Paths double in length with every round - a node's path goes on with that of the node behind its
+    end - so a tree of depth d takes log2(d) joins.
+    """
+    at = written(nodes.select("id", F.array("id").alias("path"), F.col("parent_id").alias("next")), "paths")
+    while not at.where("next is not null").isEmpty():
+        more = at.select(F.col("id").alias("next"), F.col("path").alias("more"), F.col("next").alias("beyond"))
+        longer = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.coalesce("more", F.array("next"))))
+        at = written(at.join(more, "next", "left").select("id", longer.alias("path"), F.col("beyond").alias("next")), "paths")
+    return at.select("id", "path")
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(ancestor_id, id, depth) for every node and each of its ancestors, itself (depth 0) included."""
-    parents = nodes.where("parent_id is not null").select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    level = nodes.select(F.col("id").alias("ancestor_id"), "id", F.lit(0).alias("depth"))
-    out = level
-    while True:
-        level = written(level.join(parents, "ancestor_id").select(F.col("next").alias("ancestor_id"), "id", (F.col("depth") + 1).alias("depth")), "ancestors")
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    return root_paths(nodes).select("id", F.posexplode("path").alias("depth", "ancestor_id")).select("ancestor_id", "id", "depth")
 
 
 def descendants(nodes: DataFrame, root: str) -> DataFrame:
@@ -35,23 +43,39 @@ def descendants(nodes: DataFrame, root: str) -> DataFrame:
     return nodes.limit(0) if out is None else out
 
 
-def lift_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``edges`` and what they imply higher up: an edge s -> t adds parent(s) -> parent(t) while both
-    parents exist and differ, again and again. Self-edges are left out.
+def _lifts(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(source_id, target_id) of every edge and of what it implies higher up, a row for each edge that implies it."""
+    ends = [paths.select(F.col("id").alias(k), F.col("path").alias(f"{k}s")) for k in ("source_id", "target_id")]
+    alone = lambda k: F.coalesce(f"{k}s", F.array(k)).alias(f"{k}s")  # noqa: E731 - an end that is no node
+    rows = edges.select("source_id", "target_id").where("source_id <> target_id").distinct().join(ends[0], "source_id", "left").join(ends[1], "target_id", "left").select("source_id", "target_id", alone("source_id"), alone("target_id"))
+    # once both parents are one node, so are all above
+    pairs = F.filter(F.arrays_zip("source_ids", "target_ids"), lambda x: x["source_ids"] != x["target_ids"])
+    return rows.select(F.explode(pairs).alias("x")).select(F.col("x.source_ids").alias("source_id"), F.col("x.target_ids").alias("target_id"))
+
 
-    Each round joins the new edges only (the frontier) and drops those found before.
+def lift_counts(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(source_id, target_id, n): ``edges`` and what they imply higher up, and how many of them imply each.
+
+    An edge s -> t implies parent(s) -> parent(t) while both parents exist and differ, again and again;
+    ``paths`` (id, path) are the nodes' root paths. Self-edges are left out.
+    """
+    return _lifts(edges, paths).groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
+
+
+def lift_change(counts: DataFrame, removed: DataFrame, added: DataFrame, paths: DataFrame) -> DataFrame:
+    """``counts`` after some of its edges were removed and others added: only what these imply is counted anew,
+    and an edge goes with the last one that implies it.
+
+    ``paths`` are those of the ends of both; ends keep their place in the tree.
     """
-    up = nodes.where("parent_id is not null").select("id", "parent_id")
-    frontier = written(edges.select("source_id", "target_id").where("source_id <> target_id").distinct(), "edges")
-    found = frontier
-    while True:
-        sources, targets = (up.select(F.col("id").alias(k), F.col("parent_id").alias(f"p_{k}")) for k in ("source_id", "target_id"))
-        lifted = frontier.join(sources, "source_id").join(targets, "target_id").where("p_source_id <> p_target_id")
-        lifted = lifted.select(F.col("p_source_id").alias("source_id"), F.col("p_target_id").alias("target_id")).distinct()
-        frontier = written(lifted.join(found, ["source_id", "target_id"], "left_anti"), "edges")
-        if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
+    change = lambda df, by: lift_counts(df, paths).select("source_id", "target_id", (F.col("n") * by).alias("n"))
+    both = counts.select("source_id", "target_id", "n").unionByName(change(removed, -1)).unionByName(change(added, 1))
+    return both.groupBy("source_id", "target_id").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def lift_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` and what they imply higher up, without self-edges."""
+    return lift_counts(edges, root_paths(nodes)).select("source_id", "target_id")
 
 
 def containment_edges(nodes: DataFrame) -> DataFrame:

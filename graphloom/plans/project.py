@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import ident
 from graphloom.functions.scratch import written
 from graphloom.operators import describe, extract, graph, notes, reconcile, search
-from graphloom.operators.resolve import Resolver
-from graphloom.plans.store import FORMAT_VERSION, Graph, Store, StoreError
+from graphloom.operators.resolve import Resolver, affected
+from graphloom.plans.store import LOCK_FORMAT, Graph, Store, StoreError
 from graphloom.sources import lockfile, tree
 
 #: The kinds of one vocabulary, lower-case, everywhere.
@@ -58,6 +58,8 @@ class Project:
     def __init__(self, spark: SparkSession, root: str, store: str, language: str = "auto", rules: list[str] | None = None, embed: Callable[[DataFrame], DataFrame] | None = describe.hashed_vectors, client: Callable | None = None):
         self.spark, self.root, self.store = spark, root, Store(spark, store)
         self.language, self.rules, self.embed, self.client = language, rules, embed, client
+        #: How many files the last change had resolved; None after a full parse.
+        self.resolved: int | None = None
 
     # -- building ---------------------------------------------------------------------------------
 
@@ -67,12 +69,59 @@ class Project:
         nodes = nodes.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("inherits", "imports")})
         return nodes.withColumns({"description": F.lit(""), "diff_hash": F.coalesce("diff_hash", F.lit("")), "date_added": now, "date_last_updated": now})
 
-    def _edges(self, structs: DataFrame) -> DataFrame:
-        by_uid = Resolver(structs).edges()
-        ids = structs.select("uid", "id")
-        for end in ("source_id", "target_id"):
-            by_uid = by_uid.join(ids.withColumnRenamed("uid", end).withColumnRenamed("id", f"_{end}"), end)
-        return by_uid.select(F.col("_source_id").alias("source_id"), F.col("_target_id").alias("target_id"), "edge_type").distinct()
+    def _edges(self, structs: DataFrame, before: Graph, changed: DataFrame | None) -> dict[str, DataFrame]:
+        """edges, links, imports and bases of ``structs``.
+
+        With the files ``changed`` (path) since the version before, only files are resolved whose names can
+        mean something else now, and only edges are counted anew that their links imply.
+        """
+        asking = written(affected(changed, before.structs, structs, before.imports, before.bases), "affected") if changed is not None else None
+        self.resolved = asking.count() if asking is not None else None
+        resolver = Resolver(structs, asking, before.bases if asking is not None else None)
+        bases = written(resolver.all_bases(), "bases")
+        path = lambda c: F.substring_index(c, "#", 1).alias("path")
+        links = written(resolver.links(bases).select(path("s"), F.col("s").alias("source_uid"), F.col("t").alias("target_uid"), "fuzzy"), "links")
+        imports = resolver.imports.select(F.col("file_uid").alias("path"), "ord", "candidate", "target", "is_wildcard")
+        bases = bases.select(path("uid"), "uid", "ord", "base")
+        if asking is None:
+            edges = self._lifted(links, structs, graph.lift_counts).unionByName(self._contained(structs))
+            return {"edges": edges, "links": links, "imports": imports, "bases": bases}
+        others = lambda df: df.join(asking, "path", "left_anti").select(*df.columns)
+        old = before.links.join(asking, "path", "left_semi").select(*links.columns)
+        gone, new = written(old.exceptAll(links), "links"), written(links.exceptAll(old), "links")
+        nodes = lambda df: df.join(changed, "path", "left_semi").unionByName(df.where("type = 'directory'"))
+        renewed = nodes(before.structs.select("id", "path", "type")).unionByName(nodes(structs.select("id", "path", "type"))).select("id").distinct()
+        own = structs.join(renewed, "id", "left_semi")
+        contained = reconcile.replace_outbound(before.edges.where("edge_type = 'is_child_of'"), renewed, self._contained(structs, own))
+        parts = []
+        both = before.structs.select("id", "uid", "parent_uid", "path", "type").unionByName(structs.select("id", "uid", "parent_uid", "path", "type")).distinct()
+        for fuzzy, kind in ((False, "depends_on"), (True, "depends_on_fuzzy")):
+            change = lambda removed, added, paths, kind=kind: graph.lift_change(before.edges.where(F.col("edge_type") == kind), removed, added, paths)
+            parts.append(self._lifted(gone.where(F.col("fuzzy") == fuzzy), both, change, new.where(F.col("fuzzy") == fuzzy), kind))
+        edges = parts[0].unionByName(parts[1]).unionByName(contained)
+        return {"edges": edges, "links": others(before.links).unionByName(links), "imports": others(before.imports).unionByName(imports), "bases": bases}
+
+    @staticmethod
+    def _lifted(links: DataFrame, structs: DataFrame, lift: Callable, more: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+        """What ``lift`` makes of links (two sets of them with ``more``) by ids, as edges. Only nodes of the links' files and directories are climbed."""
+        if kind is None:
+            parts = [Project._lifted(links.where(of), structs, lift, None, k) for of, k in (("not fuzzy", "depends_on"), ("fuzzy", "depends_on_fuzzy"))]
+            return parts[0].unionByName(parts[1])
+        every = links if more is None else links.unionByName(more)
+        files = every.select("path").unionByName(every.select(F.substring_index("target_uid", "#", 1).alias("path"))).distinct()
+        nodes = structs.join(files, "path", "left_semi").unionByName(structs.where("type = 'directory'").select(*structs.columns)).select("id", "uid", "parent_uid").distinct()
+        ids = nodes.select("uid", "id").distinct()
+        paths = graph.root_paths(nodes.join(ids.select(F.col("uid").alias("parent_uid"), F.col("id").alias("parent_id")), "parent_uid", "left").select("id", "parent_id"))
+        named = lambda df: df.join(ids.select(F.col("uid").alias("source_uid"), F.col("id").alias("source_id")), "source_uid").join(ids.select(F.col("uid").alias("target_uid"), F.col("id").alias("target_id")), "target_uid").select("source_id", "target_id")
+        counts = lift(named(links), paths) if more is None else lift(named(links), named(more), paths)
+        return counts.select("source_id", "target_id", F.lit(kind).alias("edge_type"), "n")
+
+    @staticmethod
+    def _contained(structs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+        """Edges from nodes (all without ``own``) to their parents."""
+        parents = structs.select(F.col("uid").alias("parent_uid"), F.col("id").alias("parent_id"))
+        nodes = (structs if own is None else own).select("id", "parent_uid").join(parents, "parent_uid")
+        return graph.containment_edges(nodes).withColumn("n", F.lit(1).cast("long"))
 
     def _vectors(self, structs: DataFrame, before: Graph) -> DataFrame:
         """Vectors of what is embedded, and of every directory the mean of the files below it.
@@ -99,7 +148,7 @@ class Project:
         held = before.structs.where("type <> 'directory'").join(broken, "path", "left_semi")
         return reconcile.parsed_wins(structs.drop("parsed"), held)
 
-    def _built(self, structs: DataFrame, before: Graph, lock: DataFrame | None, client: Callable | None = None) -> Graph:
+    def _built(self, structs: DataFrame, before: Graph, lock: DataFrame | None, client: Callable | None = None, changed: DataFrame | None = None) -> Graph:
         """The graph of ``structs``, with what the version before and the lockfile know of unchanged nodes."""
         structs = reconcile.carry_over(structs, before.structs)
         structs = describe.described(structs, lockfile.entries(lock, self.spark), client)
@@ -113,27 +162,28 @@ class Project:
         new = notes.numbered(merged.where("note_id is null").drop("note_id"), before.note_high_water)
         all_notes = written(merged.where("note_id is not null").unionByName(new.select(*merged.columns)), "notes")
         high = all_notes.agg(F.max("note_id")).first()[0] or 0
-        return Graph(structs, self._edges(structs), self._vectors(structs, before), all_notes, before.version, max(high, before.note_high_water))
+        found = self._edges(structs, before, changed)
+        return Graph(structs, vectors=self._vectors(structs, before), notes=all_notes, version=before.version, note_high_water=max(high, before.note_high_water), **found)
 
     def parse(self, lock_path: str | None = None) -> Graph:
         """Scan the whole tree and commit its graph. Nodes of files that are gone are gone; a file that cannot be
         parsed whole keeps the nodes it had."""
         before = self.store.before()
         files = tree.scan(self.spark, self.root, self.rules, self.language)
-        lock = lockfile.read(self.spark, lock_path, FORMAT_VERSION) if lock_path else None
+        lock = lockfile.read(self.spark, lock_path, LOCK_FORMAT) if lock_path else None
         return self.store.commit(self._built(self._held(self._structs(files, files.select("path")), before), before, lock, self.client))
 
     def apply(self, changes: DataFrame) -> Graph:
         """Bring the graph up to date with ``changes`` (path, change: added, modified or deleted).
 
-        Only changed files are read and extracted; rows of others come from the version before. The
-        result is that of a full parse. A file that is gone counts as deleted; one that cannot be parsed whole
+        Only changed files are read and extracted, and only files are resolved whose names can mean something
+        else (``resolved`` tells how many); rows of others come from the version before. The result is that of a full parse. A file that is gone counts as deleted; one that cannot be parsed whole
         keeps its nodes with their notes and descriptions. With a client, a first version is committed in which
         the descriptions of changed files are marked as stale, before they are asked for anew.
         """
         before = self.store.load()
         changes = written(changes.select("path", "change").distinct(), "changes")
-        files = tree.scan(self.spark, self.root, self.rules, self.language).join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
+        files = tree.read(self.spark, self.root, changes.where("change <> 'deleted'").select("path"), self.rules, self.language)
         gone = changes.select(F.col("path").alias("p"))
         old = before.structs.where("type <> 'directory'")
         below = old.select("path").distinct().join(gone, F.col("path") == F.col("p"), "left_semi")
@@ -145,11 +195,12 @@ class Project:
         paths = kept.select("path").distinct().unionByName(files.select("path")).distinct()
         folders = self._structs(files.limit(0), paths).select(*fresh.columns)
         structs = written(reconcile.parsed_wins(fresh.where("type <> 'directory'"), kept).unionByName(folders), "changed")
+        touched = written(below.unionByName(fresh.where("type = 'file'").select("path")).distinct(), "touched")
         if self.client is not None:
-            first = self._built(structs, before, None)
+            first = self._built(structs, before, None, changed=touched)
             first.structs = reconcile.mark_stale(first.structs, gone.withColumnRenamed("p", "path"))
             before.version = self.store.commit(first).version
-        return self.store.commit(self._built(structs, before, None, self.client))
+        return self.store.commit(self._built(structs, before, None, self.client, touched))
 
     # -- asking -----------------------------------------------------------------------------------
 
@@ -264,5 +315,5 @@ class Project:
         g = self.store.load()
         entries = lockfile.exported(g.structs, g.vectors if with_vectors else None)
         logs = notes.export(g.notes, g.structs)
-        changed = lockfile.write(path, entries, logs, FORMAT_VERSION)
+        changed = lockfile.write(path, entries, logs, LOCK_FORMAT)
         return {"descriptions": entries.count(), "notes": g.notes.count(), "changed": changed}

@@ -213,6 +213,21 @@ def edges_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lift_edges(edges(spark, sf_dir), tree(spark, sf_dir))
 
 
+@query(f"""
+WITH RECURSIVE {TREE_SQL}, pairs AS (SELECT 'O' || l_orderkey AS s, 'S' || l_suppkey AS t, min(l_linenumber) <= 3 AS first, any_value(l_orderkey) AS k FROM lineitem GROUP BY 1, 2),
+chain(s, t) AS (
+  SELECT s, t FROM pairs WHERE NOT (first AND k % 7 = 0)
+  UNION ALL SELECT a.parent_id, b.parent_id FROM chain JOIN tree a ON a.id = s JOIN tree b ON b.id = t WHERE a.parent_id <> b.parent_id)
+SELECT s AS source_id, t AS target_id, count(*)::BIGINT AS n FROM chain GROUP BY 1, 2""")
+def edges_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifted dependencies kept up to date: from those of each order's first items every seventh order's go, the others' later items come."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg((F.min("l_linenumber") <= 3).alias("first"))
+    line = line.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("source_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target_id"), "first", (F.col("l_orderkey") % 7 == 0).alias("gone"))
+    line, paths = written(line, "pairs"), graph.root_paths(tree(spark, sf_dir))
+    counts = written(graph.lift_counts(line.where("first"), paths), "counts")
+    return graph.lift_change(counts, line.where("first and gone"), line.where("not first"), paths)
+
+
 @query(f"""
 WITH RECURSIVE {TREE_SQL}, {EDGES_SQL}
 SELECT source_id AS id, string_agg(target_id || '|' || target_id, ',' ORDER BY target_id || '|' || target_id) AS dependencies FROM dep GROUP BY 1""")

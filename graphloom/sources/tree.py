@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import ident
+from graphloom.functions.files import is_file
 from graphloom.sources import ignore
 
 #: Language of each extension (fixed values).
 LANGUAGES = {"py": "python", "java": "java", "html": "html", "htm": "html"}
 
 
+#: Up to so many files are read by their paths; of more, the tree is scanned and joined.
+PATHS = 10_000
+
+
 def scan(spark: SparkSession, root: str, rules: list[str] | None = None, language: str = "auto") -> DataFrame:
     """(path, content, lang) of every file below ``root`` in a language of the project that is not ignored.
 
     Paths are relative to ``root``, which any file system that Spark reads can hold. Without ``rules`` the
     languages' defaults hold.
     """
+    ends = ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in LANGUAGES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(root)
+    return _relative(files, root, rules, language)
+
+
+def read(spark: SparkSession, root: str, paths: DataFrame, rules: list[str] | None = None, language: str = "auto") -> DataFrame:
+    """As ``scan``, of the files ``paths`` (path, relative to ``root``) only: no other file is listed or opened. Those that are gone are left out."""
+    wanted = [r.path for r in paths.distinct().limit(PATHS + 1).collect()]
+    if len(wanted) > PATHS:
+        return scan(spark, root, rules, language).join(paths, "path", "left_semi")
+    base = root.rstrip("/")
+    there = [p for p in (f"{base}/{x}" for x in wanted) if is_file(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, content binary, lang string")
+    # the reader takes paths as patterns
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?,^])", r"\\\1", p) for p in there])
+    return _relative(files, root, rules, language)
+
+
+def _relative(files: DataFrame, root: str, rules: list[str] | None, language: str) -> DataFrame:
+    """Files by path below ``root`` with their language, without those of others and ignored ones."""
     if rules is None:
         rules = [r for lang, rs in ignore.DEFAULTS.items() if language in ("auto", lang) for r in rs]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(root)
     cut = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), F.concat(F.lit("^"), F.lit(_quoted(cut)), F.lit("/")), "")
     lang = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))[F.lower(F.substring_index("path", ".", -1))]

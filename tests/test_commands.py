@@ -28,7 +28,8 @@ def test_commands(spark, tmp_path):
 
 def test_incompatible_store(spark, tmp_path):
     path = f"file://{tmp_path}/g"
-    spark.createDataFrame([(4, 99, 0)], "version long, format_version int, note_high_water long").write.json(f"{path}/manifest")
+    (tmp_path / "g/manifest").mkdir(parents=True)
+    (tmp_path / "g/manifest/000000000004.json").write_text('{"version": 4, "format_version": 99, "note_high_water": 0, "tables": {}, "parts": {}}')
     with pytest.raises(StoreError):
         Store(spark, path).load()
     assert Store(spark, path).before().version == 4 and Store(spark, path).before().structs.count() == 0
