@@ -19,11 +19,6 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
-def is_file(spark: SparkSession, path: str) -> bool:
-    fs, at = _at(spark, path)
-    return fs.exists(at) and fs.getFileStatus(at).isFile()
-
-
 def read_text(spark: SparkSession, path: str) -> str:
     fs, at = _at(spark, path)
     stream = fs.open(at)

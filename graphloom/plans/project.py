@@ -183,7 +183,7 @@ class Project:
         """
         before = self.store.load()
         changes = written(changes.select("path", "change").distinct(), "changes")
-        files = tree.read(self.spark, self.root, changes.where("change <> 'deleted'").select("path"), self.rules, self.language)
+        files = tree.read(self.root, changes.where("change <> 'deleted'").select("path"), self.rules, self.language)
         gone = changes.select(F.col("path").alias("p"))
         old = before.structs.where("type <> 'directory'")
         below = old.select("path").distinct().join(gone, F.col("path") == F.col("p"), "left_semi")

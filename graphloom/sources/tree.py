@@ -1,64 +1,97 @@
-"""Source trees: files read by Spark, directories from their paths."""
+"""Source trees: files by their paths, directories from these.
+
+Spark's own file readers pass over files of no bytes and over names that begin with an underscore, both of
+which source trees hold (``__init__.py``). So paths are listed on the driver, as Spark's readers do, and
+chunks of them are opened in tasks, through Arrow's file systems (local, HDFS, S3, GCS, Azure).
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import ident
-from graphloom.functions.files import is_file
 from graphloom.sources import ignore
 
 #: Language of each extension (fixed values).
 LANGUAGES = {"py": "python", "java": "java", "html": "html", "htm": "html"}
 
 
-#: Up to so many files are read by their paths; of more, the tree is scanned and joined.
-PATHS = 10_000
+#: Bytes of files that are handed over together, and that one task opens, about.
+BATCH_BYTES, TASK_BYTES = 16 << 20, 64 << 20
+
+
+def store_of(root: str) -> tuple[stores.FileSystem, str]:
+    """The file system of a tree and where the tree lies in it."""
+    if root.startswith("file:") or "://" not in root:
+        return stores.LocalFileSystem(), f"/{root.removeprefix('file:').strip('/')}" if root.startswith(("file:", "/")) else root.rstrip("/")
+    store, base = stores.FileSystem.from_uri(root)
+    return store, base.rstrip("/")
+
+
+def listed(root: str) -> list[tuple[str, int, int]]:
+    """(path below ``root``, bytes, time of change in nanoseconds) of every file in a known language."""
+    store, base = store_of(root)
+    found = store.get_file_info(stores.FileSelector(base, recursive=True, allow_not_found=True))
+    return [(f.path[len(base) + 1 :], f.size, f.mtime_ns or 0) for f in found if f.type == stores.FileType.File and f.extension.lower() in LANGUAGES]
 
 
 def scan(spark: SparkSession, root: str, rules: list[str] | None = None, language: str = "auto") -> DataFrame:
     """(path, content, lang) of every file below ``root`` in a language of the project that is not ignored.
 
-    Paths are relative to ``root``, which any file system that Spark reads can hold. Without ``rules`` the
-    languages' defaults hold.
+    Paths are relative to ``root``. Without ``rules`` the languages' defaults hold. Ignored files are not opened.
     """
-    ends = ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in LANGUAGES)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(root)
-    return _relative(files, root, rules, language)
+    files = listed(root)
+    paths = spark.createDataFrame([(p,) for p, _, _ in files], "path string")
+    tasks = max(spark.sparkContext.defaultParallelism, sum(n for _, n, _ in files) // TASK_BYTES)
+    return _read(root, paths, max(1, min(tasks, len(files))), rules, language)
 
 
-def read(spark: SparkSession, root: str, paths: DataFrame, rules: list[str] | None = None, language: str = "auto") -> DataFrame:
+def read(root: str, paths: DataFrame, rules: list[str] | None = None, language: str = "auto") -> DataFrame:
     """As ``scan``, of the files ``paths`` (path, relative to ``root``) only: no other file is listed or opened. Those that are gone are left out."""
-    wanted = [r.path for r in paths.distinct().limit(PATHS + 1).collect()]
-    if len(wanted) > PATHS:
-        return scan(spark, root, rules, language).join(paths, "path", "left_semi")
-    base = root.rstrip("/")
-    there = [p for p in (f"{base}/{x}" for x in wanted) if is_file(spark, p)]
-    if not there:
-        return spark.createDataFrame([], "path string, content binary, lang string")
-    # the reader takes paths as patterns
-    files = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?,^])", r"\\\1", p) for p in there])
-    return _relative(files, root, rules, language)
-
-
-def _relative(files: DataFrame, root: str, rules: list[str] | None, language: str) -> DataFrame:
-    """Files by path below ``root`` with their language, without those of others and ignored ones."""
+    return _read(root, paths.select("path").distinct(), paths.sparkSession.sparkContext.defaultParallelism, rules, language)
+
+
+def _read(root: str, paths: DataFrame, tasks: int, rules: list[str] | None, language: str) -> DataFrame:
+    """Files of different ``paths``, opened in so many tasks (a number that Spark does not merge, as the paths alone are small)."""
     if rules is None:
         rules = [r for lang, rs in ignore.DEFAULTS.items() if language in ("auto", lang) for r in rs]
-    cut = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), F.concat(F.lit("^"), F.lit(_quoted(cut)), F.lit("/")), "")
     lang = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))[F.lower(F.substring_index("path", ".", -1))]
-    out = files.select(relative.alias("path"), "content", lang.alias("lang")).where(F.col("lang").isNotNull())
-    if language != "auto":
-        out = out.where(F.col("lang") == language)
-    return out.where(~ignore.is_ignored(F.col("path"), F.lit(False), rules))
-
-
-def _quoted(text: str) -> str:
-    return "".join(f"\\{c}" if c in r"\.[]{}()*+-?^$|" else c for c in text)
+    wanted = paths.select("path", lang.alias("lang")).where(F.col("lang").isNotNull() if language == "auto" else F.col("lang") == language)
+    wanted = wanted.where(~ignore.is_ignored(F.col("path"), F.lit(False), rules)).repartition(tasks)
+    return wanted.mapInArrow(_opened(root), "path string, content binary, lang string")
+
+
+def _opened(root: str) -> Callable:
+    def run(batches):
+        store, base = store_of(root)
+        for batch in batches:
+            names, langs = batch.column("path").to_pylist(), batch.column("lang").to_pylist()
+            rows, size = [], 0
+            for info, name, lang in zip(store.get_file_info([f"{base}/{x}" for x in names]), names, langs):
+                if info.type != stores.FileType.File:
+                    continue
+                try:
+                    with store.open_input_stream(info.path) as file:
+                        rows.append((name, file.read(), lang))
+                except FileNotFoundError:  # deleted meanwhile
+                    continue
+                size += len(rows[-1][1])
+                if size >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
+
+    return run
+
+
+def _batch(rows: list[tuple[str, bytes, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.string()))], ["path", "content", "lang"])
 
 
 def directories(paths: DataFrame) -> DataFrame:

@@ -7,25 +7,15 @@ driver, so it suits trees of the size of a project.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from graphloom.sources.tree import LANGUAGES
+from graphloom.sources.tree import listed
 
 
 def listing(root: str) -> dict[str, int]:
-    out = {}
-    for folder, _, names in os.walk(root):
-        for name in names:
-            if name.rsplit(".", 1)[-1].lower() in LANGUAGES:
-                path = os.path.join(folder, name)
-                try:
-                    out[os.path.relpath(path, root).replace(os.sep, "/")] = os.stat(path).st_mtime_ns
-                except FileNotFoundError:
-                    continue  # deleted meanwhile: the next listing tells
-    return out
+    return {path: at for path, _, at in listed(root)}
 
 
 def changes(before: dict[str, int], after: dict[str, int]) -> list[tuple[str, str, int]]:
