@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.functions.scratch import written
 from graphloom.operators.reconcile import latest
 from graphloom.plans.project import Project
 from graphloom.sources.watch import TreeWatch
+from graphloom.streaming.newest import DELAY_MS, newest_changes
 
 
 def superseded(batch: DataFrame) -> DataFrame:
@@ -16,13 +18,15 @@ def superseded(batch: DataFrame) -> DataFrame:
 
 
 def watch(project: Project, root: str, checkpoint: str, seconds: float = 1.0, once: bool = False) -> StreamingQuery:
-    """Apply every change below ``root`` to the project's graph. One query is the only writer; after a
-    restart the checkpoint gives the changes made meanwhile, and applying a batch twice changes nothing."""
+    """Apply every change below ``root`` to the project's graph, the newest of each path when the path has come to
+    rest. One query is the only writer; after a restart the checkpoint gives the changes made meanwhile, and applying a
+    batch twice changes nothing. With ``once`` nothing waits."""
     project.spark.dataSource.register(TreeWatch)
-    changes = project.spark.readStream.format("treewatch").load(root)
+    changes = project.spark.readStream.format("treewatch").option("state", f"{checkpoint.rstrip('/')}/tree").load(root)
+    changes = newest_changes(changes, 0 if once else DELAY_MS)
 
     def upkeep(batch: DataFrame, _: int) -> None:
-        rows = superseded(batch)
+        rows = written(superseded(batch), "changes")  # read whole and once, as the stream's state asks
         if rows.isEmpty():
             return
         if project.store.exists():

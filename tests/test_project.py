@@ -11,7 +11,6 @@ from graphloom.operators.java import _calls, erased, import_candidate, java_node
 from graphloom.plans.project import Project, clipped, parse_refs
 from graphloom.plans.store import StoreError
 from graphloom.sources import ignore, tree
-from graphloom.sources.watch import changes
 from tests.projects import FILES, JAVA, write
 
 
@@ -146,10 +145,6 @@ def test_lockfile_round_trip(spark, tmp_path):
     assert other.parse(f"file://{tmp_path}/bad.json").notes.count() == 1
 
 
-def test_change_listing():
-    assert changes({"a": 1, "b": 1, "c": 1}, {"b": 2, "c": 1, "d": 1}) == [("a", "deleted", 1), ("b", "modified", 2), ("d", "added", 1)]
-
-
 def test_watching(spark, tmp_path):
     from graphloom.streaming.watch import Watchers, watch
 
