@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ident
 from graphloom.functions.scratch import written
-from graphloom.operators import describe, extract, graph, notes, reconcile, search
+from graphloom.operators import describe, extract, graph, notes, pruned, reconcile, search
 from graphloom.operators.resolve import Resolver
 from graphloom.plans import sample
 from graphloom.sources.tree import directories
@@ -93,6 +93,13 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_join(rows.where("id % 20 = 0"), rows).withColumn("distance", F.round("distance", 6))
 
 
+@query(_KNN.format(also=""))
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As knn_topk, without the cells that cannot hold a nearer row."""
+    rows = _vectors(spark, sf_dir)
+    return pruned.knn_pruned(rows.where("id % 20 = 0"), rows)[0].withColumn("distance", F.round("distance", 6))
+
+
 @query(_KNN.format(also="AND v.label = 3"))
 def knn_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As knn_topk among the rows of one type: filtered before the search, so never fewer than there are."""
