@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from graphloom.operators import describe
 from graphloom.plans.project import Project, config
 from graphloom.plans.store import StoreError
 
@@ -27,8 +28,8 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     command("init", "write the settings and the ignore rules of a project", force=False)
-    command("parse", "scan the tree and commit its graph", language="auto", lock=None)
-    command("watch", "keep the graph fresh until stopped", seconds=1.0)
+    command("parse", "scan the tree and commit its graph", language="auto", lock=None, llm=None)
+    command("watch", "keep the graph fresh until stopped", seconds=1.0, llm=None)
     command("status", "count nodes by kind, edges and notes")
     command("inspect", "what is known of nodes, by id or uid", "refs", body=False, max_lines=500)
     command("skeleton", "the tree below a path", "path", depth=4, files_only=False, max_lines=500)
@@ -57,16 +58,17 @@ def init(root: Path, force: bool = False) -> list[str]:
     return done
 
 
-def project(spark: SparkSession, root: Path, store: str | None, language: str = "auto") -> Project:
+def project(spark: SparkSession, root: Path, store: str | None, language: str = "auto", llm: str | None = None) -> Project:
     own = root / ".graphignore"
     rules = own.read_text(encoding="utf-8").splitlines() if own.exists() else None
     language = language if language != "auto" else config(root).get("project", {}).get("language", "auto")
-    return Project(spark, f"file://{root}", store or f"file://{root}/.graph", language=language, rules=rules)
+    client = describe.client_for(config(root), describe.CLIENTS, llm)
+    return Project(spark, f"file://{root}", store or f"file://{root}/.graph", language=language, rules=rules, client=client)
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> str:
     root = Path(args.root).absolute()
-    p = project(spark, root, args.store, getattr(args, "language", "auto"))
+    p = project(spark, root, args.store, getattr(args, "language", "auto"), getattr(args, "llm", None))
     match args.command:
         case "init":
             return "\n".join(init(root, args.force)) or "nothing to write"
@@ -103,7 +105,7 @@ def main() -> int:
     try:
         print(run(args, spark))
         return 0
-    except StoreError as e:
+    except (StoreError, describe.ClientError) as e:
         print(f"error: {e}")
         return 1
 

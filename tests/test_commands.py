@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.__main__ import parser, run
+from graphloom.__main__ import parser, project, run
 from graphloom.plans.project import config
 from graphloom.plans.store import Store, StoreError
 from tests.projects import write
@@ -33,3 +33,18 @@ def test_incompatible_store(spark, tmp_path):
     with pytest.raises(StoreError):
         Store(spark, path).load()
     assert Store(spark, path).before().version == 4 and Store(spark, path).before().structs.count() == 0
+
+
+def test_settings_name_the_client(spark, tmp_path, monkeypatch):
+    from graphloom.operators import describe
+
+    def loud(texts):
+        for t in texts:
+            yield t.str.upper()
+
+    monkeypatch.setitem(describe.CLIENTS, "loud", loud)
+    write(tmp_path, {"a.py": "x = 1\n", "graph.toml": '[llm]\nstrategy = "loud"\n'})
+    assert project(spark, tmp_path, None).client is loud and project(spark, tmp_path, None, llm="none").client is None
+    with pytest.raises(describe.ClientError):
+        project(spark, tmp_path, None, llm="quiet")
+    assert parser().parse_args(["parse", "--llm", "loud"]).llm == "loud"
