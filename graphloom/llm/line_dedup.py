@@ -8,7 +8,7 @@ the same document. Lines end at \n, are compared without surrounding ASCII white
 are neither compared nor deleted.
 
 Defined results: null or empty text has no lines; rows equal in doc_id and text count as one document;
-a text that loses no line is returned as it is; further columns called n_lines or n_removed give way to
+a text that loses no line is returned as it is; very long texts are read whole, in one task's memory; further columns called n_lines or n_removed give way to
 the operator's own.
 """
 

@@ -16,7 +16,8 @@ Documents are linked when the Jaccard similarity of their sets of word shingles
 A pair at the threshold shares no band with a chance of (1 - 0.8^8)^80 < 5e-7.
 
 Defined results: words are lower-cased in A-Z only; a text of fewer words than a shingle is one
-shingle; null and empty texts have none, are linked with nothing and stay. Rows that share a doc_id
+shingle; very long texts are sketched and compared whole, in one task's memory (about 26 bytes a byte of text);
+null and empty texts have none, are linked with nothing and stay. Rows that share a doc_id
 are one node for linking. A null doc_id is linked only to equal sets and never represents a class
 that has a doc_id; where a class has none, component_id is null and its rows stay. Further columns
 are ignored; an empty table gives an empty result.

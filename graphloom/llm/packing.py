@@ -14,7 +14,8 @@ and gives the ids of ``tokenizers``. Texts with the file's special token, texts
 expressions give up on (a million blanks in a row), and all texts of a file with another pre-tokenizer
 go through ``tokenizers``.
 
-Defined results: null and empty texts are one piece of the single id 0; repeated rows are packed each;
+Defined results: null and empty texts are one piece of the single id 0; very long texts are encoded whole (about 3 bytes
+a byte of text); pieces of one length are placed in the order in which their group holds them; repeated rows are packed each;
 further columns are ignored; an empty table gives an empty result.
 """
 

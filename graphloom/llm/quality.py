@@ -17,7 +17,8 @@ side, so only buckets and one row a document are shuffled, never text.
 
 Defined results: null and empty texts have no words and fail; without trusted documents no score
 decides, and base rules alone do; without labelled documents of both kinds the threshold is 0 - that
-is, as likely under the target as under the raw corpus - less a margin of ``MARGIN``; repeated rows
+is, as likely under the target as under the raw corpus - less a margin of ``MARGIN``; a score just at the threshold is
+kept; very long texts are read whole; repeated rows
 count as often as they stand there; further columns are ignored; an empty table gives an empty result.
 """
 
