@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,6 +17,8 @@ from graphloom.functions.scratch import scratch_path
 #: White space that separates words, and a word, in the regular expressions of Spark.
 SPACE = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
+#: One of them, in the bytes of a text.
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 #: Sides of joins up to this many bytes are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -62,8 +65,8 @@ def written(df: DataFrame, name: str, rows: int | None = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Neighbouring rows of ``batch`` with about ``SLICE_BYTES`` of text together; a longer text is a slice of its own.
+def slices(batch: pa.RecordBatch, column: str = "text", alone: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of ``batch`` with about ``SLICE_BYTES`` of text together; a text of more than ``alone`` bytes is a slice of its own.
 
     Spark hands over at most about 64 MB at once (or one row, if that is longer), and what is made of a
     text takes several times its size.
@@ -72,12 +75,25 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    if alone is not None:
+        long = np.flatnonzero(sizes > alone)
+        cuts = np.unique(np.r_[cuts, long[long > 0], long[long < batch.num_rows - 1] + 1])
+    cuts = [0, *cuts, batch.num_rows]
     for at, end in zip(cuts, cuts[1:]):
         yield batch.slice(at, end - at)
     pa.default_memory_pool().release_unused()
 
 
+def pieces(text: bytes, separator: re.Pattern, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """``text`` in pieces of ``size`` bytes and what is left up to the next separator; the separators between pieces belong to none."""
+    at = 0
+    while len(text) - at > size and (cut := separator.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit ``BROADCAST_BYTES``, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

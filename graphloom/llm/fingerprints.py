@@ -17,7 +17,8 @@ members of a bucket with its smallest, then, in blocks of bounded size, those th
 components. ``near_groups`` gives every document its class of equal fingerprints and its component.
 
 Defined results: null texts are empty; the fingerprint of an empty text is ``0:`` and like only itself;
-very long texts are walked whole, in one task's memory (about 45 bytes a byte of text); documents stand in ascending order of doc_id, equal ones by text; those without one follow in order of a
+very long texts are walked whole in stretches, and a task holds the text, its neighbour and two bytes for each character of
+both and of the edited one; documents stand in ascending order of doc_id, equal ones by text; those without one follow in order of a
 hash of their text, and the first of all follows the last; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -39,6 +40,8 @@ CLASSES, PERIOD, SAMPLES, RANGES = 64, 1024, 32, 40
 BAND, LAST_RANGES = 4, 3
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
+#: Characters that are walked at once.
+STRETCH = 1 << 16
 _SEED, _CHANCE = 20240307, 1 / 16
 
 
@@ -73,25 +76,52 @@ def _sampled() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Walk:
-    """The walk over one text; ``then`` continues from any character of it with other text."""
+    """The walk over one text, in stretches of characters; ``then`` continues from any character of it with other text.
+
+    Of each character the number of its steps is kept, in two bytes, and where each stretch ends.
+    """
 
     def __init__(self, text: str, before: Walk | None = None, keep: int = 0):
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        lead = before.points[:keep] if before else points[:0]
-        self.points = np.concatenate([lead, points])
-        ends = before.ends[:keep] if before else np.zeros(0, np.int64)
-        last = int(ends[-1]) if keep else 0
-        classes = ((points * np.uint32(0x9E3779B1)) >> np.uint32(20)) & np.uint32(CLASSES - 1)
-        rows, j, out = _walkers(), last % PERIOD, []
-        add = out.append
-        for c in classes.astype(np.uint8).tobytes():
-            j = rows[c][j]
-            add(j)
-        gaps = np.diff(np.array([last % PERIOD, *out])) % PERIOD
-        gaps[gaps == 0] = PERIOD
-        self.ends = np.concatenate([ends, last + np.cumsum(gaps)])
+        self.text = before.text[:keep] + text if before else text
+        self.gaps = np.empty(len(self.text), np.uint16)
+        self.gaps[:keep] = before.gaps[:keep] if before else 0
+        j = (before.end(keep) if before else 0) % PERIOD
+        for at in range(0, len(text), STRETCH):
+            points = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le"), np.uint32)
+            classes = ((points * np.uint32(0x9E3779B1)) >> np.uint32(20)) & np.uint32(CLASSES - 1)
+            steps = np.empty(len(points) + 1, np.int16)
+            steps[0] = j
+            rows, out = _walkers(), []
+            add = out.append
+            for c in classes.astype(np.uint8).tobytes():
+                j = rows[c][j]
+                add(j)
+            steps[1:] = out
+            gap = np.diff(steps) % PERIOD
+            gap[gap == 0] = PERIOD
+            self.gaps[keep + at : keep + at + len(gap)] = gap
+        self.stretches = np.cumsum([self.gaps[at : at + STRETCH].sum(dtype=np.int64) for at in range(0, len(self.gaps), STRETCH)], dtype=np.int64)
         self._digits: np.ndarray | None = None
 
+    def end(self, n: int) -> int:
+        """The step after the first ``n`` characters."""
+        k = n // STRETCH
+        return int(self.stretches[k - 1] if k else 0) + int(self.gaps[k * STRETCH : n].sum(dtype=np.int64))
+
+    @property
+    def ends(self) -> np.ndarray:
+        """The step after each character."""
+        return self.gaps.cumsum(dtype=np.int64)
+
+    def _places(self, steps: np.ndarray) -> np.ndarray:
+        """The characters at ascending ``steps``."""
+        out = [np.zeros(0, np.int64)]
+        of = np.searchsorted(self.stretches, steps, "right")
+        for k in np.unique(of).tolist():
+            ends = self.gaps[k * STRETCH : (k + 1) * STRETCH].cumsum(dtype=np.int64) + (self.stretches[k - 1] if k else 0)
+            out.append(np.searchsorted(ends, steps[of == k], "right") + k * STRETCH)
+        return np.concatenate(out)
+
     def then(self, keep: int, text: str) -> Walk:
         return Walk(text, self, keep)
 
@@ -100,11 +130,11 @@ class Walk:
         """Four bits for each sampled step of the walk."""
         if self._digits is None:
             steps = _sampled()[0]
-            if not len(self.ends):
+            if not self.text:
                 return steps[:0]
-            at = np.searchsorted(self.ends, steps[: np.searchsorted(steps, self.ends[-1])], "right")
-            p = np.concatenate([np.zeros(2, np.uint32), self.points])
-            mix = (p[at] * np.uint32(0x85EBCA77) + p[at + 1]) * np.uint32(0xC2B2AE3D) + p[at + 2]
+            at = self._places(steps[: np.searchsorted(steps, self.stretches[-1])]).tolist()
+            second, first, here = (np.array([ord(self.text[i - back]) if i >= back else 0 for i in at], np.uint32) for back in (2, 1, 0))
+            mix = (second * np.uint32(0x85EBCA77) + first) * np.uint32(0xC2B2AE3D) + here
             mix ^= mix >> np.uint32(15)
             self._digits = ((mix * np.uint32(0x27D4EB2F)) >> np.uint32(28)).astype(np.int64)
         return self._digits
@@ -189,14 +219,16 @@ def _compared() -> Callable:
         edit = after[: len(text) // 4]
         edited = walk.then(keep, edit)
         shares = [bool(set(bands(walk.digits)) & set(bands(x.digits))) for x in (edited, next_walk)]
-        sha = hashlib.sha256((text[:keep] + edit).encode()).hexdigest()
-        return doc_id, len(text), sha, walk.fingerprint, edited.fingerprint, likeness(walk.digits, edited.digits), likeness(walk.digits, next_walk.digits), *shares
+        sha = hashlib.sha256()
+        for at in range(0, len(edited.text), STRETCH):
+            sha.update(edited.text[at : at + STRETCH].encode())
+        return doc_id, len(text), sha.hexdigest(), walk.fingerprint, edited.fingerprint, likeness(walk.digits, edited.digits), likeness(walk.digits, next_walk.digits), *shares
 
     def run(batches):
         before = None
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
         done = False
-        for batch in (part for b in batches for part in common.slices(b)):
+        for batch in (part for b in batches for part in common.slices(b, alone=common.SLICE_BYTES)):
             rows = []
             for doc_id, text, ahead in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ahead"))):
                 if done:

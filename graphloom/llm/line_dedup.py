@@ -8,12 +8,16 @@ the same document. Lines end at \n, are compared without surrounding ASCII white
 are neither compared nor deleted.
 
 Defined results: null or empty text has no lines; rows equal in doc_id and text count as one document;
-a text that loses no line is returned as it is; very long texts are read whole, in one task's memory; further columns called n_lines or n_removed give way to
+a text that loses no line is returned as it is; very long texts are taken in stretches, a task holds
+the text itself and the lines of one stretch; further columns called n_lines or n_removed give way to
 the operator's own.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,18 +34,21 @@ def _lines(text: bytes) -> list[bytes]:
     return [x for x in (line.strip(_BLANK) for line in text.split(b"\n")) if x]
 
 
-def _kept(text: bytes, lines: list[bytes], removed: np.ndarray) -> dict:
-    gone = int(removed.sum())
-    if gone:
-        flags = iter(removed.tolist())
-        text = b"\n".join(line for line in text.split(b"\n") if not (line.strip(_BLANK) and next(flags)))
-    return {"n_lines": len(lines), "n_removed": gone, "text": text.decode()}
+def _left(text: bytes, lines: list[bytes], removed: np.ndarray) -> list[bytes]:
+    if not removed.any():
+        return [text]
+    flags = iter(removed.tolist())
+    return [line for line in text.split(b"\n") if not (line.strip(_BLANK) and next(flags))]
+
+
+def _kept(n: int, gone: int, texts: Iterator[bytes]) -> dict:
+    return {"n_lines": n, "n_removed": gone, "text": b"\n".join(texts)}
 
 
-def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_words: int | None = LONG_WORDS, stretch: int = common.SLICE_BYTES) -> DataFrame:
     """``docs`` (doc_id, text and any others) with the text that stays, n_lines and n_removed; null text stays null.
 
-    ``long_words`` None leaves single lines, however long.
+    ``long_words`` None leaves single lines, however long; ``stretch`` is how many bytes of a text are taken at once.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rest = [c for c in names if c not in ("doc_id", "text")]
@@ -49,7 +56,7 @@ def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_wor
     packed = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("no_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("_rest"))
     keyed = common.keyed(packed, "_rest")
     kind = keyed.schema["_rest"].dataType.simpleString()
-    out = Repeats(_lines, gram, window, first_stays=True, long=long).marked(keyed, _kept, [("doc_id", "bigint"), ("text", "string"), ("n_lines", "bigint"), ("n_removed", "bigint"), ("_rest", kind)])
+    out = Repeats(_lines, _left, re.compile(b"\n"), b"\n", gram, window, first_stays=True, long=long, stretch=stretch).marked(keyed, _kept, [("doc_id", "bigint"), ("text", "string"), ("n_lines", "bigint"), ("n_removed", "bigint"), ("_rest", kind)])
     text = F.when(~F.col("_rest.no_text"), F.col("text")).alias("text")
     by = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(rest)}
     return out.select(*(by[c] for c in names), F.col("n_lines"), F.col("n_removed"))

@@ -16,7 +16,8 @@ Documents are linked when the Jaccard similarity of their sets of word shingles
 A pair at the threshold shares no band with a chance of (1 - 0.8^8)^80 < 5e-7.
 
 Defined results: words are lower-cased in A-Z only; a text of fewer words than a shingle is one
-shingle; very long texts are sketched and compared whole, in one task's memory (about 26 bytes a byte of text);
+shingle; very long texts are hashed and sketched in stretches, and a task holds the text and its whole set of
+shingles, eight bytes each;
 null and empty texts have none, are linked with nothing and stay. Rows that share a doc_id
 are one node for linking. A null doc_id is linked only to equal sets and never represents a class
 that has a doc_id; where a class has none, component_id is null and its rows stay. Further columns
@@ -26,7 +27,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import exp, lgamma, log
 
 import numpy as np
@@ -43,6 +44,8 @@ BANDS, ROWS = 80, 8
 BATCH, MISS, LAST_MISS = 64, 1e-9, 1e-6
 #: Members of a bucket that are compared with each other at once, and rows that go to a task together.
 BLOCK, DEALT = 2048, 4096
+#: Words of a text whose shingles are hashed at once.
+STRETCH = 1 << 18
 _SEED = 20240229
 
 
@@ -54,24 +57,52 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of one document's hashed words."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    return np.unique(winnow.rolled(words, min(n, shingle)) ^ np.uint64(min(n, shingle)))
+    return joined_set([words], shingle)
+
+
+def joined_set(parts: Iterable[np.ndarray], shingle: int) -> np.ndarray:
+    """``shingle_set`` of a document whose hashed words come in parts."""
+    found: list[np.ndarray] = []
+    held = np.zeros(0, np.uint64)
+    for words in parts:
+        for at in range(0, len(words), STRETCH):
+            held = np.concatenate([held, words[at : at + STRETCH]])
+            if len(held) >= shingle:
+                found.append(np.unique(winnow.rolled(held, shingle) ^ np.uint64(shingle)))
+                held = held[len(held) - shingle + 1 :]
+    if not found:
+        return winnow.rolled(held, len(held)) ^ np.uint64(len(held)) if len(held) else held
+    if len(found) == 1:
+        return found[0]
+    out = np.concatenate(found)
+    found.clear()
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One-byte minima of non-empty sets, BANDS * ROWS columns."""
     flips, factors = _functions()
+    if len(sets) == 1 and len(sets[0]) > STRETCH:
+        parts = [sets[0][at : at + STRETCH] for at in range(0, len(sets[0]), STRETCH)]
+        return _top(np.minimum.reduce([_minima([x], flips, factors) for x in parts]))
+    return _top(_minima(sets, flips, factors))
+
+
+def _minima(sets: list[np.ndarray], flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
     x = np.concatenate(sets).astype(np.uint32)
     begin = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), len(flips)), np.uint8)
+    out = np.empty((len(sets), len(flips)), np.uint32)
     for k, (flip, factor) in enumerate(zip(flips, factors)):
-        least = np.minimum.reduceat((x ^ flip) * factor, begin)
-        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+        out[:, k] = np.minimum.reduceat((x ^ flip) * factor, begin)
     return out
 
 
+def _top(minima: np.ndarray) -> np.ndarray:
+    """A byte of each."""
+    return ((minima * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def least_matches(n: int, similar: int = SIMILAR, miss: float = MISS) -> int:
     """Fewest matches among n minima with which a pair may still be similar.
 
@@ -112,16 +143,19 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple]:
     for batch in batches:
-        for part in common.slices(batch):
-            split = [b"" if x is None else x for x in part.column("text").cast(pa.binary()).to_pylist()]
-            split = [x.lower().split() for x in split]
+        for part in common.slices(batch, alone=common.SLICE_BYTES):
+            texts = [b"" if x is None else x for x in part.column("text").cast(pa.binary()).to_pylist()]
+            if len(texts) == 1:
+                yield part, [joined_set((winnow.hashed(x.lower().split()) for x in common.pieces(texts.pop(), common.BLANK)), shingle)]
+                continue
+            split = [x.lower().split() for x in texts]
             ends = np.cumsum([len(x) for x in split])
             words = winnow.hashed([w for x in split for w in x])
             yield part, [shingle_set(words[e - len(x) : e], shingle) for x, e in zip(split, ends)]
 
 
 def _class_of(sets: list[np.ndarray]) -> list[pa.Array]:
-    both = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
+    both = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
     return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
 
 

@@ -3,13 +3,15 @@
 Method: seed and extend (``repeats``): documents meet on winnowed word anchors, matches are extended both
 ways, and maximal repeats over the threshold go. Words are the byte strings between
 ASCII white space, unchanged. Defined results: null or empty text has no words; repeated rows are
-documents of their own, so their runs count as repeats; rows may have any further columns, which
+documents of their own, so their runs count as repeats, and of equal runs none is preferred, all go; very long texts
+are taken in stretches, a task holds the text itself and the words of one stretch; rows may have any further columns, which
 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,24 +23,30 @@ from .repeats import Repeats
 GRAM, WINDOW = 12, 24
 
 
-def _kept(text: bytes, words: list[bytes], removed: np.ndarray) -> dict:
-    gone = int(removed.sum())
-    kept = words if not gone else [w for w, r in zip(words, removed.tolist()) if not r]
-    return {"n_words": len(words), "n_removed": gone, "kept": b" ".join(kept).decode()}
+def _words(text: bytes, words: list[bytes], removed: np.ndarray) -> list[bytes]:
+    return [w for w, r in zip(words, removed.tolist()) if not r] if removed.any() else words
 
 
-def _digest(text: bytes, words: list[bytes], removed: np.ndarray) -> dict:
-    row = _kept(text, words, removed)
-    return {"n_words": row["n_words"], "n_removed": row["n_removed"], "kept_sha256": hashlib.sha256(row["kept"].encode()).hexdigest()}
+def _kept(n: int, gone: int, texts: Iterator[bytes]) -> dict:
+    return {"n_words": n, "n_removed": gone, "kept": b" ".join(texts)}
 
 
-def substring_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def _digest(n: int, gone: int, texts: Iterator[bytes]) -> dict:
+    sha = hashlib.sha256(next(texts, b""))
+    for text in texts:
+        sha.update(b" ")
+        sha.update(text)
+    return {"n_words": n, "n_removed": gone, "kept_sha256": sha.hexdigest()}
+
+
+def substring_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, digest: bool = False, stretch: int = common.SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by a space (``digest``: their SHA-256).
 
-    docs needs doc_id and text. Runs of ``gram + window - 1`` words are the shortest repeats.
+    docs needs doc_id and text. Runs of ``gram + window - 1`` words are the shortest repeats; ``stretch`` is how many bytes of a text are
+    taken at once.
     """
     last = ("kept_sha256" if digest else "kept", "string")
-    return Repeats(bytes.split, gram, window, first_stays=False).marked(common.keyed(docs), _digest if digest else _kept, [("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), last])
+    return Repeats(bytes.split, _words, common.BLANK, b" ", gram, window, first_stays=False, stretch=stretch).marked(common.keyed(docs), _digest if digest else _kept, [("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), last])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import math
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import common, components, fingerprints, language_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality, queries, repeats, secrets, substring_dedup, winnow
-from tests.conftest import duck, rows_of
+from tests.conftest import ROOT, duck, rows_of
 from tests.llm.conftest import SCHEMA, SF, odd_rows
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -801,4 +803,77 @@ def test_quality_of_odd_tables(spark, odd, none):
 def test_broadcast_is_bounded(spark):
     df = spark.range(3)
     assert common.small(df, 10, 8) is not df and common.small(df, common.BROADCAST_BYTES, 8) is df
-    assert repeats.Repeats(bytes.split, 12, 24, False).run == 35
+    assert repeats.Repeats(bytes.split, None, common.BLANK, b" ", 12, 24, False).run == 35
+
+
+# -- long texts --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [40, 700])
+def test_stretches_of_long_texts(spark, size):
+    """What texts give does not depend on where they are cut."""
+    rng = np.random.default_rng(size)
+    base = [f"v{i}" for i in rng.integers(0, 400, 900)]
+    own = lambda d, n: [f"u{d}_{i}" for i in range(n)]
+    docs = [(d, own(d, 13) + base[a : a + n] + own(d + 90, 300) + base[a + 5 : a + 5 + n]) for d, (a, n) in enumerate(zip(rng.integers(0, 600, 12), rng.integers(20, 200, 12)))]
+    docs += [(20, ["same"] * 500), (21, own(21, 600) + own(21, 40)), (22, []), (23, docs[0][1][:200])]
+    lines = [(d, "\n".join(" ".join(ws[i : i + 3]) if i % 15 else "" for i in range(0, len(ws), 3)) + "\n" * (d % 3)) for d, ws in docs]
+    frame = lambda rows: spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], SCHEMA)
+    texts = frame([(d, " ".join(ws)) for d, ws in docs])
+
+    def results(**how):
+        cut = substring_dedup.substring_dedup(texts, gram=5, window=8, **how).collect()
+        digest = substring_dedup.substring_dedup(texts, gram=5, window=8, digest=True, **how).collect()
+        deduped = [line_dedup.line_dedup(frame(lines), g, w, n, **how).collect() for g, w, n in ((1, 2, 3), (2, 3, None))]
+        return [sorted(map(str, x)) for x in (cut, digest, *deduped)], cut
+
+    stretched, cut = results(stretch=size)
+    assert stretched == results()[0]
+    gone = brute_repeats(docs, 12)
+    assert {r.doc_id: r.kept.split() for r in cut} == {d: [w for i, w in enumerate(ws) if i not in gone[d]] for d, ws in docs}
+
+
+def test_sketches_and_walks_in_stretches(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    text = "".join(rng.choice(list("abc é🙂"), 1234))
+    want = minhash_dedup.shingle_set(words, 4), minhash_dedup.shingle_set(words[:3], 4), fingerprints.Walk(text)
+    edited = want[2].then(1000, text[:234])
+    assert want[2].fingerprint and edited.fingerprint  # made before stretches get another size
+    signed = minhash_dedup.signatures([want[0]])
+    monkeypatch.setattr(minhash_dedup, "STRETCH", 7)
+    monkeypatch.setattr(fingerprints, "STRETCH", 50)
+    assert np.array_equal(minhash_dedup.shingle_set(words, 4), want[0]) and np.array_equal(minhash_dedup.shingle_set(words[:3], 4), want[1])
+    assert np.array_equal(minhash_dedup.signatures([want[0]]), signed)
+    walk = fingerprints.Walk(text)
+    assert np.array_equal(walk.ends, want[2].ends) and walk.fingerprint == want[2].fingerprint
+    assert walk.then(1000, text[:234]).fingerprint == edited.fingerprint == fingerprints.Walk(text[:1000] + text[:234]).fingerprint
+
+
+@pytest.mark.parametrize(("name", "most"), [("substrings", 32), ("lines", 12), ("sketch", 16), ("walk", 20)])
+def test_memory_of_a_long_text(name, most):
+    """Peak of a worker's step beyond the batch itself, in bytes for each of a text of 10 MB (in a process of its own)."""
+    code = f"""
+import numpy as np, pyarrow as pa
+from graphloom.llm import common, fingerprints, line_dedup, minhash_dedup, repeats, substring_dedup
+how = repeats.Repeats(line_dedup._lines, line_dedup._left, __import__("re").compile(b"\\n"), b"\\n", 1, 2, True, lambda x: len(x.split()) > 9, 1 << 19) if {name!r} == "lines" else repeats.Repeats(bytes.split, substring_dedup._words, common.BLANK, b" ", 12, 24, False, None, 1 << 19)
+steps = [minhash_dedup._sketch(5)] if {name!r} == "sketch" else [fingerprints._compared()] if {name!r} == "walk" else [how._anchors(), how._extended(), how._runs(), how._finish(substring_dedup._digest, ["n_words", "n_removed", "kept_sha256"])]
+def batch(n):
+    text = "\\n".join(f"w{{i * 7919 % 99991}} x{{i % 61}} yz" for i in range(n))
+    cols = {{"_k": [1], "_t": [2], "doc_id": [1], "text": [text], "ahead": [0], "once": pa.array([[]], pa.list_(pa.int32())), "marks": pa.array([[]], pa.list_(pa.struct([("p", pa.int32()), ("mark", pa.int32())]))), "spared": pa.array([[]], pa.list_(pa.int32()))}}
+    both = {{k: pa.concat_arrays([pa.array(v) if isinstance(v, list) else v] * 2) for k, v in cols.items()}}
+    return pa.RecordBatch.from_arrays(list(both.values()), list(both)).slice(0, 2 if {name!r} == "walk" else 1), len(text)
+for step in steps:
+    list(step(iter([batch(1000)[0]])))
+some, size = batch(10_000_000 // 13)
+used = lambda k: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith(k))
+open("/proc/self/clear_refs", "w").write("5")  # the peak starts again here
+before = used("VmRSS")
+for step in steps:
+    for out in step(iter([some])):
+        pass
+print((used("VmHWM") - before) * 1024 / size)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=False)
+    assert got.stdout, got.stderr
+    assert float(got.stdout) < most, got.stdout
