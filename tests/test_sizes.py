@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import extract, graph
 from graphloom.plans import sample
+from graphloom.plans.registry import ORACLE_SQL, QUERIES
+from tests.conftest import duck, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +35,11 @@ def test_below_is_what_ancestors_give(spark):
     want = graph.ancestors(nodes).where("depth > 0").join(scopes.distinct().withColumnRenamed("scope", "ancestor_id"), "ancestor_id", "left_semi").select("ancestor_id", "id")
     got = sorted(map(tuple, graph.below(nodes, scopes).collect()))
     assert got == sorted(map(tuple, want.collect())) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("x", "e")]
+
+
+def test_suffix_join_of_repeated_urls(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    twice = pages.unionByName(pages.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 1_000_000)).coalesce(1)
+    twice.write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = QUERIES["suffix_join"](spark, f"file://{tmp_path}").toPandas(), duck(tmp_path).execute(ORACLE_SQL["suffix_join"]).df()
+    assert rows_of(got) == rows_of(want) and len(want) > twice.count()
