@@ -43,3 +43,13 @@ def test_suffix_join_of_repeated_urls(spark, tmp_path):
     twice.write.parquet(f"{tmp_path}/pages.parquet")
     got, want = QUERIES["suffix_join"](spark, f"file://{tmp_path}").toPandas(), duck(tmp_path).execute(ORACLE_SQL["suffix_join"]).df()
     assert rows_of(got) == rows_of(want) and len(want) > twice.count()
+
+
+def test_lifting_walks_the_paths_of_parents_only(spark, monkeypatch):
+    asked, walk = [], graph.root_paths
+    monkeypatch.setattr(graph, "root_paths", lambda nodes: asked.append(nodes.count()) or walk(nodes))
+    nodes = spark.createDataFrame([("r", None), ("a", "r"), ("b", "r"), *((f"a{i}", "a") for i in range(50)), *((f"b{i}", "b") for i in range(50)), ("c1", "gone")], "id string, parent_id string")
+    edges = spark.createDataFrame([("a1", "b1", "x"), ("a2", "b2", "x"), ("a1", "b1", "y"), ("a1", "a1", "x"), ("a1", "c1", "x"), ("a3", "nowhere", "x")], "source_id string, target_id string, kind string")
+    got = sorted(map(tuple, graph.lift_edges(edges, nodes, "kind").collect()))
+    assert got == [("a", "b", "x"), ("a", "b", "y"), ("a", "gone", "x"), ("a1", "b1", "x"), ("a1", "b1", "y"), ("a1", "c1", "x"), ("a2", "b2", "x"), ("a3", "nowhere", "x")]
+    assert asked == [3]
